@@ -195,7 +195,18 @@ def daily_snapshot(feedback: DataFrame) -> DataFrame:
     upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row per day
     good, n = F.sum("correct_predictions").over(upto), F.sum("total_feedback").over(upto)
     return per_day.select(
-        "*", n.alias("cumulative_feedback"), rates.percent(good, n).alias("cumulative_accuracy"))
+        "*", n.alias("cumulative_feedback"), F.sum("incorrect_predictions").over(upto).alias("cumulative_incorrect"),
+        rates.percent(good, n).alias("cumulative_accuracy"))
+
+
+def latest_snapshot(snapshots: DataFrame) -> DataFrame:
+    """Totals as of the newest stored snapshot row."""
+    newest = F.max_by(
+        F.struct("cumulative_feedback", "cumulative_incorrect", "cumulative_accuracy"), "date").alias("s")
+    return snapshots.agg(newest).select(
+        F.col("s.cumulative_feedback").alias("total_feedback"),
+        F.col("s.cumulative_incorrect").alias("incorrect_predictions"),
+        F.col("s.cumulative_accuracy").alias("accuracy_rate"))
 
 
 def export_stats(feedback: DataFrame) -> DataFrame:

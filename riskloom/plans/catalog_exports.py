@@ -1,2 +1,71 @@
-def register(c):
-    pass
+"""Export queries: the rows each sink writes, and tables read back after a write."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskloom.operators import evaluation
+from riskloom.operators import feedback as fb
+from riskloom.plans.catalog import Catalog
+from riskloom.plans.catalog_evaluation import split_sql, _split_predictions
+from riskloom.plans.catalog_feedback import ISO, READY_SQL, TOTALS_SQL
+from riskloom.plans.oracle_views import ratio
+from riskloom.operators import splits
+from riskloom.plans.testbed import Testbed
+from riskloom.session import materialize
+from riskloom.sources import exports
+
+_CLASS_SQL = "CASE WHEN teacher_correction IN ('HIGH', 'MEDIUM') THEN 'suicide' ELSE 'non-suicide' END"
+
+
+def _stored_readiness(bed: Testbed) -> DataFrame:
+    """Readiness from the newest row of the stored snapshot table."""
+    stored = materialize(fb.daily_snapshot(bed.feedback), "feedback-stats")
+    return fb.readiness_of(fb.latest_snapshot(stored))
+
+
+def _jsonl(bed: Testbed) -> DataFrame:
+    return exports.jsonl_rows(bed.feedback).select(
+        "text", "label", "original_prediction", "is_correct", F.col("metadata.id").alias("id"),
+        F.col("metadata.original_score").alias("original_score"),
+        F.col("metadata.teacher_notes").alias("teacher_notes"), F.col("metadata.created_at").alias("created_at"))
+
+
+def _listing(bed: Testbed) -> DataFrame:
+    return exports.list_files(bed.spark, bed.sf_dir, "*.parquet").select("filename", "size_bytes")
+
+
+def _results(bed: Testbed) -> DataFrame:
+    metrics = evaluation.evaluate(_split_predictions(bed), ["model", "split"])
+    document = exports.results_document(metrics, "lexicon", 42, {"max_seq_length": 256})
+    return document.select(
+        "model_type", "model_name", "seed", F.col("test_results.eval_accuracy").alias("test_accuracy"),
+        F.col("test_results.eval_fnr").alias("test_fnr"), F.col("val_results.eval_accuracy").alias("val_accuracy"),
+        F.col("val_results.eval_fnr").alias("val_fnr"))
+
+
+def register(c: Catalog) -> None:
+    c.add("s06_stored_readiness", _stored_readiness, READY_SQL.format(f"SELECT {TOTALS_SQL} FROM feedback"))
+    c.add("s07_csv_rows", lambda b: exports.csv_rows(b.feedback, "reviewed", False), f"""
+        SELECT id, text, original_prediction, original_score, teacher_correction, is_correct,
+               coalesce(teacher_notes, '') AS teacher_notes, {ISO.format('feedback.created_at')} AS created_at, status
+        FROM feedback WHERE status = 'reviewed' AND NOT is_correct""")
+    c.add("s08_training_rows", lambda b: exports.training_rows(b.feedback), f"""
+        SELECT text, {_CLASS_SQL} AS class, original_prediction, teacher_correction, is_correct,
+               {ISO.format('feedback.created_at')} AS created_at, id AS feedback_id FROM feedback""")
+    c.add("s09_jsonl_rows", _jsonl, f"""
+        SELECT text, teacher_correction AS label, original_prediction, is_correct, id, original_score, teacher_notes,
+               {ISO.format('feedback.created_at')} AS created_at FROM feedback""")
+    c.add("s10_correction_classes", lambda b: exports.class_counts(exports.correction_rows(b.feedback)),
+          f"SELECT {_CLASS_SQL} AS class, count(*) AS n_rows FROM feedback WHERE NOT is_correct GROUP BY 1")
+    c.add("s11_list_files", _listing)
+    test = lambda split, m: f"max(CASE WHEN split = '{split}' THEN {m} END)"
+    c.add("s14_results_document", _results, f"""
+        SELECT 'lexicon' AS model_type, model AS model_name, CAST(42 AS BIGINT) AS seed,
+               {test('test', 'acc')} AS test_accuracy, {test('test', 'fnr')} AS test_fnr,
+               {test('val', 'acc')} AS val_accuracy, {test('val', 'fnr')} AS val_fnr
+        FROM (SELECT model, split, {ratio('count(*) FILTER (WHERE pred = truth)', 'count(*)')} AS acc,
+                     {ratio('count(*) FILTER (WHERE truth = 1 AND pred = 0)', 'count(*) FILTER (WHERE truth = 1)')} AS fnr
+              FROM model_predictions m JOIN ({split_sql(splits.SPLIT_80_10_10)}) s ON m.key = s.doc_id GROUP BY 1, 2)
+        GROUP BY model""")

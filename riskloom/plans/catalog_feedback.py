@@ -163,6 +163,7 @@ def register(c: Catalog) -> None:
         FROM corrections GROUP BY 1""")
     c.add("f13_daily_snapshot", lambda b: fb.daily_snapshot(b.feedback), f"""
         SELECT *, CAST(sum(total_feedback) OVER w AS BIGINT) AS cumulative_feedback,
+               CAST(sum(incorrect_predictions) OVER w AS BIGINT) AS cumulative_incorrect,
                round(sum(correct_predictions) OVER w / sum(total_feedback) OVER w * 100, 2) AS cumulative_accuracy
         FROM ({SNAPSHOT_SQL}) WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
     c.add("f14_life_cycle", _lifecycle, """

@@ -1,2 +1,161 @@
-def register(c):
-    pass
+"""Feature and model queries.  Training is eager: Spark ML fits when the query is built."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskloom.functions import labels as lb
+from riskloom.operators import evaluation, features, models, retraining, splits
+from riskloom.plans.catalog import Catalog
+from riskloom.plans.testbed import MODELS, Testbed
+
+# a short list for the queries that SQL checks; the library's default is Spark's English list
+STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "it", "for", "on", "are", "with")
+
+_features: dict[tuple[str, str], DataFrame] = {}
+
+_STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+GRAMS_SQL = f"""
+    SELECT doc_id, list_concat(k, CASE WHEN len(k) > 1 THEN list_transform(range(1, len(k)),
+             lambda i: k[i] || ' ' || k[i + 1]) ELSE CAST([] AS VARCHAR[]) END) AS grams
+    FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{features.TOKEN}'),
+                 lambda t: t NOT IN ({_STOP_SQL})) AS k FROM documents)"""
+
+VOCABULARY_SQL = f"""
+    SELECT term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM (
+      SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(grams) AS term FROM ({GRAMS_SQL})) GROUP BY 1, 2)
+    GROUP BY term HAVING count(*) >= 2 AND count(*) <= (SELECT count(*) FROM documents) * 0.95e0
+    ORDER BY n DESC, term LIMIT 10000"""
+
+TFIDF_SQL = f"""
+    SELECT doc_id, term, tf, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM (
+      SELECT doc_id, term, tf, tf * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1.0e0) AS raw FROM (
+        SELECT g.doc_id, g.term, v.df, count(*) AS tf
+        FROM (SELECT doc_id, unnest(grams) AS term FROM ({GRAMS_SQL})) g JOIN ({VOCABULARY_SQL}) v ON g.term = v.term
+        GROUP BY 1, 2, 3))"""
+
+
+def _grams(bed: Testbed) -> DataFrame:
+    return features.grams(bed.documents, STOP_WORDS)
+
+
+def _n_docs(bed: Testbed):
+    return bed.documents.agg(F.count("*")).scalar()
+
+
+def _tokens(bed: Testbed) -> DataFrame:
+    return _grams(bed).select("doc_id", F.size("grams").cast("long").alias("n_grams"), F.array_join("grams", ",").alias("grams"))
+
+
+def _vocabulary(bed: Testbed) -> DataFrame:
+    return features.vocabulary(_grams(bed), _n_docs(bed))
+
+
+def _tfidf(bed: Testbed) -> DataFrame:
+    return features.tfidf(_grams(bed), _vocabulary(bed), _n_docs(bed), "doc_id")
+
+
+def _split_corpus(bed: Testbed) -> DataFrame:
+    split = splits.stratified_split(bed.corpus_classes, "doc_id").select("doc_id", "split")
+    labelled = bed.corpus.withColumn("label", lb.class_of(F.col("class"))).drop("class")
+    return labelled.join(split, "doc_id")
+
+
+def _features_of(bed: Testbed) -> DataFrame:
+    """Feature table of the labelled corpus, fitted on its train part and stored once per session."""
+    at = (bed.spark.sparkContext.applicationId, bed.sf_dir)
+    if at not in _features:
+        _features[at] = models.featurize(_split_corpus(bed), features.default_stop_words())[1]
+    return _features[at]
+
+
+def _train(bed: Testbed) -> DataFrame:
+    return _features_of(bed).where(F.col("split") == "train").drop("split")
+
+
+def _logistic(bed: Testbed) -> DataFrame:
+    table = _features_of(bed)
+    fitted = models.logistic(_train(bed))
+    return models.predictions(fitted, table, "tfidf_logistic").withColumn("prob", F.round("prob", 6))
+
+
+def _train_evaluate(bed: Testbed) -> DataFrame:
+    return models.by_split(_logistic(bed))
+
+
+def _weighted_loss(bed: Testbed) -> DataFrame:
+    """Balanced against unweighted training, by split."""
+    from pyspark.ml.classification import LogisticRegression
+
+    train, table = _train(bed), _features_of(bed)
+    plain = LogisticRegression(featuresCol="features", labelCol="label", maxIter=100, standardization=False,
+                               regParam=1.0 / max(1, train.count())).fit(train)
+    both = models.predictions(models.logistic(train), table, "weighted").unionByName(
+        models.predictions(plain, table, "unweighted"))
+    return models.by_split(both)
+
+
+def _best_by_f1(bed: Testbed) -> DataFrame:
+    best, _ = models.select_by_f1(_train(bed), (0.0001, 0.001, 0.01))
+    return models.by_split(models.predictions(best, _features_of(bed), "best_by_f1"))
+
+
+def _svm(bed: Testbed) -> DataFrame:
+    return models.by_split(models.predictions(models.svm(_train(bed)), _features_of(bed), "tfidf_svm"))
+
+
+def _search(bed: Testbed) -> DataFrame:
+    best, _ = models.select_by_f1(_train(bed), models.random_penalties(4))
+    return models.by_split(models.predictions(best, _features_of(bed), "random_search"))
+
+
+def _stacked(bed: Testbed) -> DataFrame:
+    probs = bed.model_predictions.groupBy("key", "truth").pivot("model", list(MODELS)).agg(F.max("prob"))
+    wide = probs.withColumn("fold", (F.col("key") % 2).cast("int"))
+    return evaluation.evaluate(models.stack(wide, MODELS))
+
+
+def _retraining(split_first: bool):
+    def job(bed: Testbed) -> DataFrame:
+        rows = retraining.tagged(bed.corpus, bed.feedback.where(~F.col("is_correct")).select(
+            F.col("id").alias("feedback_id"), "text",
+            F.when(F.col("teacher_correction").isin("HIGH", "MEDIUM"), "suicide").otherwise("non-suicide").alias("class")))
+        return retraining.training_set(rows, 5, split_first).select("key", "origin", "class", "split")
+    return job
+
+
+_TAGGED_SQL = """
+    SELECT 'o' || doc_id AS key, 'original' AS origin, class FROM corpus
+    UNION ALL SELECT 'f' || id, 'feedback', CASE WHEN teacher_correction IN ('HIGH', 'MEDIUM') THEN 'suicide'
+      ELSE 'non-suicide' END FROM feedback WHERE NOT is_correct"""
+
+_CUT_SQL = """
+    SELECT key, origin, class, CASE WHEN r * 10 <= n * 9 THEN 'train' ELSE 'eval' END AS split FROM (
+      SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('42|' || key), key) AS r,
+             count(*) OVER (PARTITION BY class) AS n FROM ({0}))"""
+
+SPLIT_FIRST_SQL = f"""
+    SELECT key || '#' || CAST(c AS INTEGER) AS key, origin, class, split
+    FROM ({_CUT_SQL.format(_TAGGED_SQL)}), range(1, 6) g(c) WHERE c = 1 OR (origin = 'feedback' AND split = 'train')"""
+
+OVERSAMPLE_FIRST_SQL = _CUT_SQL.format(f"""
+    SELECT key || '#' || CAST(c AS INTEGER) AS key, origin, class FROM ({_TAGGED_SQL}), range(1, 6) g(c)
+    WHERE c = 1 OR origin = 'feedback'""")
+
+
+def register(c: Catalog) -> None:
+    c.add("m01_tokens", _tokens,
+          f"SELECT doc_id, len(grams) AS n_grams, array_to_string(grams, ',') AS grams FROM ({GRAMS_SQL})")
+    c.add("m02_vocabulary", _vocabulary, VOCABULARY_SQL)
+    c.add("m03_tfidf", _tfidf, TFIDF_SQL)
+    c.add("m04_logistic_scores", _logistic)
+    c.add("m05_train_evaluate", _train_evaluate)
+    c.add("m07_weighted_loss", _weighted_loss)
+    c.add("m08_best_by_f1", _best_by_f1)
+    c.add("d07_stacking", _stacked)
+    c.add("d13_linear_svm", _svm)
+    c.add("d14_random_search", _search)
+    c.add("k09_training_set_split_first", _retraining(True), SPLIT_FIRST_SQL)
+    c.add("k09_training_set_oversample_first", _retraining(False), OVERSAMPLE_FIRST_SQL)
