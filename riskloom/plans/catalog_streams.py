@@ -1,2 +1,135 @@
-def register(c):
-    pass
+"""Streaming queries: each runs its stream over what the tables hold and returns what was written."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskloom.functions import lexicon as lx
+from riskloom.functions import rates
+from riskloom.operators import feedback as fb
+from riskloom.operators import scoring
+from riskloom.plans.catalog import Catalog
+from riskloom.plans.catalog_feedback import BREAKDOWN_SQL, TOTALS_SQL
+from riskloom.plans.catalog_text import analysis_sql
+from riskloom.plans.catalog_visitors import INGEST_SQL, iso
+from riskloom.plans.testbed import TEST_LEXICON, Testbed
+from riskloom.session import scratch_path
+from riskloom.streaming import scoring as score_jobs
+from riskloom.streaming import traffic
+from riskloom.streaming.common import latest, parquet_stream
+from riskloom.streaming.monitor import CorrectionMonitor
+
+
+class StreamBed(Testbed):
+    """The same derived tables, with the driver's tables read as streams."""
+
+    def table(self, name: str) -> DataFrame:
+        path = f"{self.sf_dir}/{name}.parquet"
+        return parquet_stream(self.spark, path, self.spark.read.parquet(path).schema)
+
+
+def _streams(bed: Testbed) -> StreamBed:
+    return StreamBed(bed.spark, bed.sf_dir)
+
+
+def _finish(query) -> None:
+    query.awaitTermination()
+
+
+def _scored(bed: Testbed) -> DataFrame:
+    out = scratch_path(bed.spark, "scored")
+    tasks = _streams(bed).documents.select(F.col("doc_id").alias("task_id"), "text")
+    _finish(score_jobs.start(tasks, f"{out}/results", f"{out}/checkpoint", TEST_LEXICON))
+    return scoring.flatten(bed.spark.read.parquet(f"{out}/results"), "task_id")
+
+
+def _feedback_stream(bed: Testbed) -> DataFrame:
+    """Feedback arriving over time: the batch table, stored and read as a stream."""
+    path = scratch_path(bed.spark, "feedback")
+    bed.feedback.write.parquet(path)
+    return parquet_stream(bed.spark, path, bed.feedback.schema)
+
+
+def _monitored(bed: Testbed) -> DataFrame:
+    monitor = CorrectionMonitor(bed.spark, scratch_path(bed.spark, "monitor"), min_corrections=50)
+    _finish(monitor.start(_feedback_stream(bed)))
+    return monitor._state_rows().orderBy(F.desc("batch_id")).limit(1).select("total", "incorrect", "last_export_count")
+
+
+def _scheduled(bed: Testbed) -> DataFrame:
+    """Two scheduled runs over the same input: the second finds nothing new and exports nothing."""
+    monitor = CorrectionMonitor(bed.spark, scratch_path(bed.spark, "monitor"), min_corrections=50)
+    source = _feedback_stream(bed)
+    _finish(monitor.start(source))
+    _finish(monitor.start(source))
+    return monitor.exported_batches().agg(
+        F.count("*").alias("n_exports"), F.max("last_export_count").alias("last_export_count"))
+
+
+def _ingested(bed: Testbed) -> DataFrame:
+    out = scratch_path(bed.spark, "visitors")
+    _finish(traffic.ingest(_streams(bed).requests, f"{out}/table", f"{out}/checkpoint"))
+    stored = bed.spark.read.parquet(f"{out}/table").drop("day")
+    return iso(stored, "timestamp")
+
+
+def _feedback_dashboard(bed: Testbed) -> DataFrame:
+    out = scratch_path(bed.spark, "dashboard")
+    _finish(traffic.feedback_dashboard(_feedback_stream(bed), f"{out}/table", f"{out}/checkpoint", every=None))
+    return latest(bed.spark, f"{out}/table")
+
+
+def _live_totals(bed: Testbed) -> DataFrame:
+    return _feedback_dashboard(bed).select(
+        "total_feedback", "correct_predictions", "incorrect_predictions", "accuracy_rate")
+
+
+def _live_breakdown(bed: Testbed) -> DataFrame:
+    lines = [
+        F.struct(
+            F.lit(level).alias("risk_level"), F.col(f"{level.lower()}_correct").alias("correct"),
+            F.col(f"{level.lower()}_incorrect").alias("incorrect"),
+            (F.col(f"{level.lower()}_correct") + F.col(f"{level.lower()}_incorrect")).alias("total"),
+            rates.percent(
+                F.col(f"{level.lower()}_correct"),
+                F.col(f"{level.lower()}_correct") + F.col(f"{level.lower()}_incorrect")).alias("accuracy"))
+        for level in lx.RISK_LEVELS]
+    return _feedback_dashboard(bed).select(F.inline(F.array(*lines)))
+
+
+def _live_traffic(bed: Testbed) -> DataFrame:
+    out = scratch_path(bed.spark, "traffic")
+    _finish(traffic.traffic_dashboard(_streams(bed).visitors, f"{out}/table", f"{out}/checkpoint", every=None))
+    return latest(bed.spark, f"{out}/table")
+
+
+def _live_windows(bed: Testbed) -> DataFrame:
+    from riskloom.streaming.common import publisher, to_batches
+
+    out = scratch_path(bed.spark, "windows")
+    counts = traffic.sliding_counts(_streams(bed).visitors)
+    _finish(to_batches(counts, publisher(f"{out}/table"), f"{out}/checkpoint", mode="complete"))
+    return latest(bed.spark, f"{out}/table")
+
+
+SLIDING_SQL = """
+    SELECT strftime(date_trunc('day', ts) + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS window_end, count(*) AS n_visits
+    FROM visitors, range(1, 8) g(i) GROUP BY 1"""
+
+
+def register(c: Catalog) -> None:
+    c.add("t01_scored_stream", _scored, f"SELECT * EXCLUDE (doc_id), doc_id AS task_id FROM ({analysis_sql()})")
+    c.add("t02_correction_monitor", _monitored, """
+        SELECT total, incorrect, CASE WHEN incorrect >= 50 THEN incorrect ELSE 0 END AS last_export_count FROM (
+          SELECT count(*) AS total, count(*) FILTER (WHERE NOT is_correct) AS incorrect FROM feedback)""")
+    c.add("t03_scheduled_runs", _scheduled)
+    c.add("t04_visitor_ingest", _ingested, INGEST_SQL)
+    c.add("t05_live_totals", _live_totals, f"SELECT {TOTALS_SQL} FROM feedback")
+    c.add("t05_live_breakdown", _live_breakdown, BREAKDOWN_SQL)
+    c.add("t05_live_traffic", _live_traffic,
+          "SELECT strftime(ts, '%Y-%m-%d') AS day, path, count(*) AS n_visits FROM visitors GROUP BY 1, 2")
+    c.add("t06_daily_windows", lambda b: traffic.daily_windows(b.visitors),
+          "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_visits FROM visitors GROUP BY 1")
+    c.add("t06_trailing_windows", lambda b: traffic.trailing_windows(b.visitors), SLIDING_SQL)
+    c.add("t06_sliding_stream", _live_windows, SLIDING_SQL)
