@@ -1,8 +1,7 @@
 """Word and sentence attribution over a ``(doc, pos, word, score)`` table.
 
-Windows here are per document.  A document is one string value, so such a group
-is never larger than one row of the text table; where order allows it the work is
-keyed by (document, position) instead.
+Windows here are per document.  A document is one string value of at most 2 GB,
+so a group is bounded by one cell of the text table whatever the table's size.
 """
 
 from __future__ import annotations
@@ -19,17 +18,19 @@ CONTINUATION = "##"
 IMPORTANT_SHARE = 0.75
 PROBLEM_SCORE = 0.5
 TOP_SENTENCES, FIRST_TRIGGERS, TOP_WORDS = 3, 10, 10
-PIECE_BLOCK = 4096
 
 
-def merge_pieces(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
+def merge_pieces(pieces: DataFrame, key: str = "doc_id", block: int | None = None) -> DataFrame:
     """Sub-word pieces to words: text joined, score the mean of the pieces.
 
     Columns in: ``key, pos, token, score``; out: ``key, pos, word, score``.
+    ``block`` numbers the words in stretches of that many positions, so that the
+    pieces of very long documents are spread over several tasks.
     """
     real = pieces.where(~F.col("token").isin(*SPECIAL_TOKENS)).withColumn(
         "_start", (~F.col("token").startswith(CONTINUATION)).cast("long"))
-    numbered = prefix_sums(real, [key], [F.col("pos")], ["_start"], [F.floor(F.col("pos") / PIECE_BLOCK)])
+    blocks = [F.floor(F.col("pos") / block)] if block else []
+    numbered = prefix_sums(real, [key], [F.col("pos")], ["_start"], blocks)
     part = F.when(F.col("_start") == 1, F.col("token")).otherwise(
         F.substring("token", len(CONTINUATION) + 1, 2**31 - 1))
     words = numbered.select(key, F.col("_start_upto").alias("word_id"), "pos", part.alias("part"), "score").groupBy(
@@ -107,6 +108,18 @@ def sentence_scores(
         "score", F.coalesce("score", F.lit(0.0)))
 
 
+def sentence_means(words: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, sentence_no, score`` from normalised words that know their sentence."""
+    return words.where(F.col("sentence_no").isNotNull()).groupBy(key, "sentence_no").agg(
+        F.round(F.avg("normalized_score"), 9).alias("score"))
+
+
+def with_sentence_text(scores: DataFrame, docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """Add the sentence's text; meant for the few sentences that were chosen."""
+    return scores.join(docs.select(key, column), key).withColumn(
+        "sentence", F.element_at(tx.sentences(F.col(column)), F.col("sentence_no") + 1)).drop(column)
+
+
 def problematic_sentences(
     scores: DataFrame, key: str = "doc_id", minimum: float = PROBLEM_SCORE, limit: int = TOP_SENTENCES
 ) -> DataFrame:

@@ -20,16 +20,22 @@ def default_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def grams(df: DataFrame, stop_words: Sequence[str], column: str = "text", out: str = "grams") -> DataFrame:
+def gram_stages(stop_words: Sequence[str], column: str = "text") -> list:
     """Lower-case tokens of two or more word characters without stop words, then their pairs."""
-    kept = df.withColumn("_kept", F.filter(
-        F.regexp_extract_all(F.lower(column), F.lit(TOKEN), F.lit(0)),
-        lambda t: ~t.isin(*stop_words)))
-    n = F.size("_kept")
-    pairs = F.when(n > 1, F.zip_with(
-        F.slice("_kept", 1, n - 1), F.slice("_kept", 2, n - 1), lambda a, b: F.concat_ws(" ", a, b)
-    )).otherwise(F.array().cast("array<string>"))
-    return kept.withColumn(out, F.concat("_kept", pairs)).drop("_kept")
+    return [
+        RegexTokenizer(inputCol=column, outputCol="tokens", pattern=TOKEN, gaps=False, toLowercase=True),
+        StopWordsRemover(inputCol="tokens", outputCol="kept", stopWords=list(stop_words)),
+        NGram(n=2, inputCol="kept", outputCol="pairs"),
+        SQLTransformer(statement="SELECT *, concat(kept, pairs) AS grams FROM __THIS__"),
+    ]
+
+
+def grams(df: DataFrame, stop_words: Sequence[str], column: str = "text") -> DataFrame:
+    """Add ``grams``: single tokens followed by pairs."""
+    out = df
+    for stage in gram_stages(stop_words, column):
+        out = stage.transform(out)
+    return out.drop("tokens", "kept", "pairs")
 
 
 def vocabulary(
@@ -38,15 +44,15 @@ def vocabulary(
 ) -> DataFrame:
     """The ``size`` most frequent terms within the document-frequency limits; ``term, n, df``.
 
-    Each document's grams are sorted in place so that a term's first occurrence
-    can be flagged.  Both counts then come from one grouping by term, combined on
-    the map side; (document, term) pairs are not shuffled.
+    A document's grams are exploded twice, all of them and the distinct ones, and
+    both counts come from one grouping by term, combined on the map side;
+    (document, term) pairs are not shuffled.
     """
-    ordered = with_grams.select(F.sort_array(column).alias("g"))
-    flagged = F.transform(
-        "g", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.element_at("g", F.greatest(i, F.lit(1))))).alias("first")))
-    per_term = ordered.select(F.inline(flagged)).groupBy("term").agg(
-        F.count("*").alias("n"), F.count_if("first").alias("df"))
+    both = with_grams.select(F.inline(F.array(
+        F.struct(F.lit(False).alias("once"), F.col(column).alias("g")),
+        F.struct(F.lit(True).alias("once"), F.array_distinct(column).alias("g")))))
+    per_term = both.select("once", F.explode("g").alias("term")).groupBy("term").agg(
+        F.count_if(~F.col("once")).alias("n"), F.count_if("once").alias("df"))
     return (
         per_term.where((F.col("df") >= min_df) & (F.col("df") <= n_docs * max_df))
         .orderBy(F.desc("n"), "term").limit(size)
@@ -70,11 +76,7 @@ def tfidf(with_grams: DataFrame, vocab: DataFrame, n_docs, key: str, column: str
 
 def pipeline(stop_words: Sequence[str], size: int = VOCABULARY, min_df: float = MIN_DF, max_df: float = MAX_DF) -> Pipeline:
     """ML stages from ``text`` to the unit-length TF-IDF vector ``features``."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="tokens", pattern=TOKEN, gaps=False, toLowercase=True),
-        StopWordsRemover(inputCol="tokens", outputCol="kept", stopWords=list(stop_words)),
-        NGram(n=2, inputCol="kept", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(kept, pairs) AS grams FROM __THIS__"),
+    return Pipeline(stages=gram_stages(stop_words) + [
         CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=size, minDF=min_df, maxDF=max_df),
         IDF(inputCol="counts", outputCol="weighted"),
         Normalizer(inputCol="weighted", outputCol="features", p=2.0),

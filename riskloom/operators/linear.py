@@ -63,15 +63,32 @@ def with_probability(df: DataFrame, z_micro: str = "z_micro") -> DataFrame:
     )
 
 
-def word_scores(df: DataFrame, weights: DataFrame, key: str, column: str = "text", small: bool = False) -> DataFrame:
+def word_scores(
+    df: DataFrame, weights: DataFrame, key: str, column: str = "text", small: bool = False, sentences: bool = False
+) -> DataFrame:
     """``key, pos, word, score``: every white-space word in order with its weight.
 
     With a zero baseline this weight times presence is the integrated gradient
-    of the score with respect to the word.
+    of the score with respect to the word.  What follows usually works per
+    document, so the texts are partitioned by ``key`` before they are cut into
+    words: text is several times smaller than its word rows, and later windows
+    and groupings by ``key`` need no further shuffle.
+
+    ``sentences`` adds ``sentence_no``: the sentence that the running word cursor
+    has reached, null past the last one; worked out inside the row.
     """
-    rows = df.select(key, F.posexplode(tx.words(F.lower(column))).alias("pos", "word"))
+    placed = df.repartition(key) if small else df
+    words = tx.words(F.lower(column))
+    if sentences:
+        counts = F.transform(tx.sentences(F.col(column)), tx.word_count)
+        owner = F.flatten(F.transform(counts, lambda n, i: F.array_repeat(i, n)))
+        rows = placed.select(key, F.posexplode(F.arrays_zip(words.alias("w"), owner.alias("s"))).alias("pos", "_z")).where(
+            F.col("_z.w").isNotNull()).select(key, "pos", F.col("_z.w").alias("word"), F.col("_z.s").alias("sentence_no"))
+    else:
+        rows = placed.select(key, F.posexplode(words).alias("pos", "word"))
     joined = _with_weight(rows, weights, "word", key, small)
-    return joined.select(key, "pos", "word", (F.coalesce("weight_micro", F.lit(0)) / MICRO).alias("score"))
+    kept = [c for c in rows.columns if c not in (key, "pos", "word")]
+    return joined.select(key, "pos", "word", (F.coalesce("weight_micro", F.lit(0)) / MICRO).alias("score"), *kept)
 
 
 def signed_for_class(score_column: Column, pred: Column) -> Column:

@@ -35,7 +35,7 @@ def hash_thresholds(
         "_n", F.sum("_c").over(Window.partitionBy(stratum))
     )
     wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("cut"), F.floor(F.col("_n") * a / F.lit(b)).cast("long").alias("want"))
+        F.struct(F.lit(name).alias("cut"), F.expr(f"(_n * {a}) div {b}").alias("want"))
         for name, (a, b) in cuts.items()
     ])).alias("_w")
     holder = (

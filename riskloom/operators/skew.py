@@ -1,4 +1,4 @@
-"""Joins that stay balanced when a few keys hold most of the rows."""
+"""Balance: joins with a few heavy keys, inputs with too few splits, size checks."""
 
 from __future__ import annotations
 
@@ -58,3 +58,14 @@ def salted_join(
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether a stored table has at most ``max_rows`` rows; reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread by ``key`` when the input comes in fewer splits than there are cores.
+
+    A table of one or two files would keep all text work in one or two tasks.  An
+    input with enough splits, and any stream, is left as it is.
+    """
+    if df.isStreaming or df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(key)

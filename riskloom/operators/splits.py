@@ -49,13 +49,13 @@ def stratified_split(
     ])
     # one row per declared class
     tagged = df.join(F.broadcast(limits), stratum, "left")
-    mine = F.struct(seeded_hash(key, seed).alias("last_hash"), F.col(key).alias("last_key"))
+    tagged = tagged.withColumn("_mine", F.struct(seeded_hash(key, seed).alias("last_hash"), F.col(key).alias("last_key")))
     label = F.when(
         ~F.coalesce(F.col(stratum).isin(*strata), F.lit(False)),
         F.raise_error(F.lit(f"{stratum} outside the declared classes {list(strata)}")).cast("string"),
     )
     for i, name in enumerate(names[:-1]):
-        label = label.when(mine <= F.col(f"_to_{i}"), F.lit(name))
+        label = label.when(F.col("_mine") <= F.col(f"_to_{i}"), F.lit(name))
     tagged = tagged.withColumn(out, label.otherwise(F.lit(names[-1])))
     return tagged.select(*df.columns, out)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import labels as lb
-from riskloom.operators import evaluation, features, models, retraining, splits
+from riskloom.operators import evaluation, features, models, retraining, skew, splits
 from riskloom.plans.catalog import Catalog
 from riskloom.plans.testbed import MODELS, Testbed
 
@@ -38,7 +38,7 @@ TFIDF_SQL = f"""
 
 
 def _grams(bed: Testbed) -> DataFrame:
-    return features.grams(bed.documents, STOP_WORDS)
+    return features.grams(bed.texts, STOP_WORDS)
 
 
 def _n_docs(bed: Testbed):
@@ -54,7 +54,10 @@ def _vocabulary(bed: Testbed) -> DataFrame:
 
 
 def _tfidf(bed: Testbed) -> DataFrame:
-    return features.tfidf(_grams(bed), _vocabulary(bed), _n_docs(bed), "doc_id")
+    """The texts are partitioned by document once; vocabulary and weights both read that."""
+    grams = features.grams(bed.documents.repartition("doc_id"), STOP_WORDS)
+    n_docs = _n_docs(bed)
+    return features.tfidf(grams, features.vocabulary(grams, n_docs), n_docs, "doc_id")
 
 
 def _split_corpus(bed: Testbed) -> DataFrame:
@@ -67,7 +70,7 @@ def _features_of(bed: Testbed) -> DataFrame:
     """Feature table of the labelled corpus, fitted on its train part and stored once per session."""
     at = (bed.spark.sparkContext.applicationId, bed.sf_dir)
     if at not in _features:
-        _features[at] = models.featurize(_split_corpus(bed), features.default_stop_words())[1]
+        _features[at] = models.featurize(skew.spread(_split_corpus(bed), "doc_id"), features.default_stop_words())[1]
     return _features[at]
 
 

@@ -123,14 +123,23 @@ def _sentences(bed: Testbed) -> DataFrame:
     return attribution.sentence_rows(bed.documents).select("doc_id", "sentence_no", "sentence")
 
 
-def _sentence_scores(bed: Testbed) -> DataFrame:
-    docs = bed.documents.join(bed.linear_scores.select("doc_id", "pred"), "doc_id")
-    return attribution.sentence_scores(docs, attribution.normalize(bed.word_scores))
+def _worst_sentences(bed: Testbed) -> DataFrame:
+    words = attribution.normalize(bed.sentence_words)
+    positive = bed.linear_scores.where(F.col("pred") == 1).select("doc_id")
+    means = attribution.sentence_means(words).join(positive, "doc_id", "left_semi")
+    return attribution.problematic_sentences(means)
 
 
 def _problematic(bed: Testbed) -> DataFrame:
-    return attribution.problematic_sentences(_sentence_scores(bed)).select(
-        "doc_id", "rank", "sentence", F.round("score", 6).alias("score"))
+    chosen = attribution.with_sentence_text(_worst_sentences(bed), bed.documents)
+    return chosen.select("doc_id", "rank", "sentence", F.round("score", 6).alias("score"))
+
+
+def _sentence_join(bed: Testbed) -> DataFrame:
+    """The same scores when the words come from elsewhere: joined on (document, position)."""
+    docs = bed.texts.join(bed.linear_scores.select("doc_id", "pred"), "doc_id")
+    scores = attribution.sentence_scores(docs, attribution.normalize(bed.word_scores))
+    return scores.select("doc_id", "sentence_no", "n_words", F.round("score", 6).alias("score"))
 
 
 def _merged(bed: Testbed) -> DataFrame:
@@ -178,7 +187,7 @@ def _labels(bed: Testbed) -> DataFrame:
 
 
 def _severity(bed: Testbed) -> DataFrame:
-    return attribution.problematic_sentences(_sentence_scores(bed)).groupBy(
+    return _worst_sentences(bed).groupBy(
         scoring.severity(F.col("score")).alias("color")).agg(F.count("*").alias("n_sentences"))
 
 
@@ -214,6 +223,8 @@ def register(c: Catalog) -> None:
         SELECT doc_id, CAST(rank AS INTEGER) AS rank, sentence, round(score, 6) AS score FROM (
           SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sentence_no) AS rank
           FROM sentence_scores WHERE score >= 0.5) WHERE rank <= 3""")
+    c.add("x11_sentence_scores", _sentence_join,
+          "SELECT doc_id, sentence_no, n_words, round(score, 6) AS score FROM sentence_scores")
     c.add("x12_merge_pieces", _merged, """
         SELECT doc_id, pos * 2 AS pos, word,
                CASE WHEN length(word) > 6 THEN score / 2 ELSE score END AS score FROM word_scores""")

@@ -8,6 +8,11 @@ from riskloom.functions import text as tx
 from riskloom.plans import testbed as tb
 
 
+SPACE_RUN = (
+    r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
+
+
 def choose(values: tuple[str, ...], index: str) -> str:
     lines = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
     return f"CASE {index} {lines} END"
@@ -19,7 +24,7 @@ def strip(column: str) -> str:
 
 def words(column: str) -> str:
     bare = strip(column)
-    return f"CASE WHEN length({bare}) = 0 THEN CAST([] AS VARCHAR[]) ELSE string_split_regex({bare}, '{tx.SPACE_RUN}') END"
+    return f"CASE WHEN length({bare}) = 0 THEN CAST([] AS VARCHAR[]) ELSE string_split_regex({bare}, '{SPACE_RUN}') END"
 
 
 def word_count(column: str) -> str:

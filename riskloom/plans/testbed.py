@@ -58,6 +58,11 @@ class Testbed:
     def documents(self) -> DataFrame:
         return self.table("documents").select("doc_id", "text")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents for word-level work, spread when their files give too few tasks."""
+        return skew.spread(self.documents, "doc_id")
+
     @cached_property
     def labels(self) -> DataFrame:
         return self.table("labels")
@@ -214,13 +219,18 @@ class Testbed:
     @cached_property
     def linear_scores(self) -> DataFrame:
         weights, small = self.weights
-        return linear.score(self.documents, weights, "doc_id", small=small)
+        return linear.score(self.texts, weights, "doc_id", small=small)
 
     @cached_property
     def word_scores(self) -> DataFrame:
         weights, small = self.weights
         return linear.word_scores(self.documents, weights, "doc_id", small=small)
 
+    @cached_property
+    def sentence_words(self) -> DataFrame:
+        weights, small = self.weights
+        return linear.word_scores(self.documents, weights, "doc_id", small=small, sentences=True)
+
     @cached_property
     def pieces(self) -> DataFrame:
         """Words over six letters cut in two, special tokens around each document."""
