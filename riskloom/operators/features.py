@@ -65,7 +65,9 @@ def tfidf(with_grams: DataFrame, vocab: DataFrame, n_docs, key: str, column: str
     Terms outside the vocabulary are dropped inside the scan task, by a broadcast
     of at most ``VOCABULARY`` rows.
     """
-    known = with_grams.select(key, F.explode(column).alias("term")).join(
+    # the outer form keeps Spark from testing the array's size, and so building it again, below the shuffle
+    terms = with_grams.select(key, F.explode_outer(column).alias("term")).where(F.col("term").isNotNull())
+    known = terms.join(
         F.broadcast(vocab.select("term", "df")), "term")
     counts = known.groupBy(key, "term", "df").agg(F.count("*").alias("tf"))
     raw = counts.select(

@@ -17,7 +17,7 @@ from riskloom.plans.testbed import TEST_LEXICON, Testbed
 from riskloom.session import scratch_path
 from riskloom.streaming import scoring as score_jobs
 from riskloom.streaming import traffic
-from riskloom.streaming.common import latest, parquet_stream
+from riskloom.streaming.common import current, latest, parquet_stream, publisher, to_batches
 from riskloom.streaming.monitor import CorrectionMonitor
 
 
@@ -101,16 +101,14 @@ def _live_breakdown(bed: Testbed) -> DataFrame:
 def _live_traffic(bed: Testbed) -> DataFrame:
     out = scratch_path(bed.spark, "traffic")
     _finish(traffic.traffic_dashboard(_streams(bed).visitors, f"{out}/table", f"{out}/checkpoint", every=None))
-    return latest(bed.spark, f"{out}/table")
+    return current(bed.spark, f"{out}/table", "day", "path")
 
 
 def _live_windows(bed: Testbed) -> DataFrame:
-    from riskloom.streaming.common import publisher, to_batches
-
     out = scratch_path(bed.spark, "windows")
     counts = traffic.sliding_counts(_streams(bed).visitors)
-    _finish(to_batches(counts, publisher(f"{out}/table"), f"{out}/checkpoint", mode="complete"))
-    return latest(bed.spark, f"{out}/table")
+    _finish(to_batches(counts, publisher(f"{out}/table"), f"{out}/checkpoint", mode="update"))
+    return current(bed.spark, f"{out}/table", "window_end")
 
 
 SLIDING_SQL = """

@@ -53,6 +53,14 @@ def publisher(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
+def current(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Newest row per key over all published versions: the table that update-mode batches add up to."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "version")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_r"))
+    return newest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest published version."""
     jvm = spark._jvm
