@@ -34,12 +34,14 @@ def read_quarantine(spark: SparkSession, path: str, schema: T.StructType = schem
 
 
 def _with_corrupt(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows with their malformed line.  A line is judged by all its columns, so none may be pruned."""
     wide = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
-    return (
+    read = (
         spark.read.schema(wide).option("header", True).option("multiLine", True).option("quote", '"')
         .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        .option("enforceSchema", True).csv(path)
+        .option("columnPruning", False).csv(path)
     )
+    return read.where(F.length(F.concat_ws("", *schema.fieldNames())) >= 0)
 
 
 def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str:
