@@ -64,7 +64,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows spread by ``key`` when the input comes in fewer splits than there are cores.
 
     A table of one or two files would keep all text work in one or two tasks.  An
-    input with enough splits, and any stream, is left as it is.
+    input with enough splits, and any stream, is left as it is.  Meant for scans:
+    counting the partitions of a plan with a shuffle would run it.
     """
     if df.isStreaming or df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
         return df

@@ -232,16 +232,20 @@ def register(c: Catalog) -> None:
               UNION ALL SELECT model, 'fnr', fn, fn + tp FROM cells
               UNION ALL SELECT model, 'fpr', fp, fp + tn FROM cells)""")
     weight = " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(significance.POISSON_1))
-    c.add("d04_bootstrap_f1", lambda b: significance.bootstrap_f1(b.model_predictions, 20), f"""
+    boot = f"""
         SELECT model, replicate, CASE WHEN 2 * tp + wrong > 0 THEN tp * 2.0e0 / (tp * 2 + wrong) ELSE 0 END AS f1 FROM (
           SELECT model, replicate, sum(CASE WHEN truth = 1 AND pred = 1 THEN w ELSE 0 END) AS tp,
                  sum(CASE WHEN truth <> pred THEN w ELSE 0 END) AS wrong
           FROM (SELECT *, CASE {weight} ELSE {len(significance.POISSON_1)} END AS w FROM (
             SELECT m.*, CAST(r AS INTEGER) AS replicate,
                    CAST(('0x' || substring(md5('42|' || r || '|' || key), 1, 8)) AS BIGINT) / 4294967296.0e0 AS u
-            FROM model_predictions m, range(1, 21) g(r) WHERE pred = 1 OR truth = 1)) GROUP BY 1, 2)""")
+            FROM model_predictions m, range(1, 21) g(r) WHERE pred = 1 OR truth = 1)) GROUP BY 1, 2)"""
+    c.add("d04_bootstrap_f1", lambda b: significance.bootstrap_f1(b.model_predictions, 20), boot)
     c.add("d04_bootstrap_interval",
-          lambda b: significance.bootstrap_interval(significance.bootstrap_f1(b.model_predictions, 100)))
+          lambda b: significance.bootstrap_interval(significance.bootstrap_f1(b.model_predictions, 100)), f"""
+        SELECT model, count(*) AS n_replicates, round(avg(f1), 6) AS f1_mean, round(quantile_cont(f1, 0.025), 6) AS f1_low,
+               round(quantile_cont(f1, 0.975), 6) AS f1_high
+        FROM ({boot.replace("range(1, 21)", "range(1, 101)")}) GROUP BY model""")
     c.add("d05_soft_vote", _votes, """
         SELECT *, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred FROM (
           SELECT key, round(avg(prob), 6) AS prob, max(truth) AS truth, count(*) AS n_models FROM model_predictions GROUP BY key)""")

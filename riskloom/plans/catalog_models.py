@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import labels as lb
-from riskloom.operators import evaluation, features, models, retraining, skew, splits
+from riskloom.operators import evaluation, features, models, retraining, splits
 from riskloom.plans.catalog import Catalog
 from riskloom.plans.testbed import MODELS, Testbed
 
@@ -62,15 +62,15 @@ def _tfidf(bed: Testbed) -> DataFrame:
 
 def _split_corpus(bed: Testbed) -> DataFrame:
     split = splits.stratified_split(bed.corpus_classes, "doc_id").select("doc_id", "split")
-    labelled = bed.corpus.withColumn("label", lb.class_of(F.col("class"))).drop("class")
-    return labelled.join(split, "doc_id")
+    labelled = bed.corpus_classes.withColumn("label", lb.class_of(F.col("class"))).drop("class").join(split, "doc_id")
+    return bed.texts.join(labelled, "doc_id")
 
 
 def _features_of(bed: Testbed) -> DataFrame:
     """Feature table of the labelled corpus, fitted on its train part and stored once per session."""
     at = (bed.spark.sparkContext.applicationId, bed.sf_dir)
     if at not in _features:
-        _features[at] = models.featurize(skew.spread(_split_corpus(bed), "doc_id"), features.default_stop_words())[1]
+        _features[at] = models.featurize(_split_corpus(bed), features.default_stop_words())[1]
     return _features[at]
 
 

@@ -17,7 +17,7 @@ from riskloom.plans.testbed import TEST_LEXICON, Testbed
 from riskloom.session import scratch_path
 from riskloom.streaming import scoring as score_jobs
 from riskloom.streaming import traffic
-from riskloom.streaming.common import current, latest, parquet_stream, publisher, to_batches
+from riskloom.streaming.common import latest, parquet_stream, publisher, to_batches
 from riskloom.streaming.monitor import CorrectionMonitor
 
 
@@ -101,14 +101,14 @@ def _live_breakdown(bed: Testbed) -> DataFrame:
 def _live_traffic(bed: Testbed) -> DataFrame:
     out = scratch_path(bed.spark, "traffic")
     _finish(traffic.traffic_dashboard(_streams(bed).visitors, f"{out}/table", f"{out}/checkpoint", every=None))
-    return current(bed.spark, f"{out}/table", "day", "path")
+    return latest(bed.spark, f"{out}/table")
 
 
 def _live_windows(bed: Testbed) -> DataFrame:
     out = scratch_path(bed.spark, "windows")
     counts = traffic.sliding_counts(_streams(bed).visitors)
-    _finish(to_batches(counts, publisher(f"{out}/table"), f"{out}/checkpoint", mode="update"))
-    return current(bed.spark, f"{out}/table", "window_end")
+    _finish(to_batches(counts, publisher(f"{out}/table", ("window_end",)), f"{out}/checkpoint", mode="update"))
+    return latest(bed.spark, f"{out}/table")
 
 
 SLIDING_SQL = """
@@ -121,7 +121,9 @@ def register(c: Catalog) -> None:
     c.add("t02_correction_monitor", _monitored, """
         SELECT total, incorrect, CASE WHEN incorrect >= 50 THEN incorrect ELSE 0 END AS last_export_count FROM (
           SELECT count(*) AS total, count(*) FILTER (WHERE NOT is_correct) AS incorrect FROM feedback)""")
-    c.add("t03_scheduled_runs", _scheduled)
+    c.add("t03_scheduled_runs", _scheduled, """
+        SELECT CAST(incorrect >= 50 AS BIGINT) AS n_exports, CASE WHEN incorrect >= 50 THEN incorrect END AS last_export_count
+        FROM (SELECT count(*) FILTER (WHERE NOT is_correct) AS incorrect FROM feedback)""")
     c.add("t04_visitor_ingest", _ingested, INGEST_SQL)
     c.add("t05_live_totals", _live_totals, f"SELECT {TOTALS_SQL} FROM feedback")
     c.add("t05_live_breakdown", _live_breakdown, BREAKDOWN_SQL)

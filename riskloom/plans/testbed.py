@@ -90,14 +90,19 @@ class Testbed:
 
     # --- predictions and feedback ---
 
-    @cached_property
-    def scored(self) -> DataFrame:
-        risk = scoring.keyword_risk(self.documents, TEST_LEXICON)
+    @staticmethod
+    def _score(texts: DataFrame) -> DataFrame:
+        risk = scoring.keyword_risk(texts, TEST_LEXICON)
         level = F.col("risk_level")
+        kept = [c for c in texts.columns if c not in ("doc_id", "text")]
         return risk.select(
             "doc_id", "text", level.alias("risk"), "score",
             lx.binary_class(level).alias("cls"),
-            lx.by_level(level, {lx.HIGH: 0.95, lx.MEDIUM: 0.6, lx.LOW: 0.9}).alias("confidence"))
+            lx.by_level(level, {lx.HIGH: 0.95, lx.MEDIUM: 0.6, lx.LOW: 0.9}).alias("confidence"), *kept)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return self._score(self.documents)
 
     @cached_property
     def truth(self) -> DataFrame:
@@ -126,7 +131,8 @@ class Testbed:
 
     @cached_property
     def judged(self) -> DataFrame:
-        return self.scored.join(self.truth, "doc_id")
+        """Scored documents with a truth; joined first, so that only these are scored."""
+        return self._score(self.documents.join(self.truth, "doc_id"))
 
     @cached_property
     def reviews(self) -> DataFrame:
@@ -183,12 +189,11 @@ class Testbed:
     @cached_property
     def model_predictions(self) -> DataFrame:
         """``model, key, pred, prob, truth`` of three lexicon models over the labelled documents."""
-        low = self.documents.withColumn("_low", F.lower("text"))
-        counted = low.select(
-            "doc_id",
+        labelled = self.documents.join(self.truth.select("doc_id", "truth"), "doc_id")
+        counted = labelled.withColumn("_low", F.lower("text")).select(
+            "doc_id", "truth",
             TEST_LEXICON.hit_count(F.col("_low"), TEST_LEXICON.high).alias("_h"),
-            TEST_LEXICON.hit_count(F.col("_low"), TEST_LEXICON.medium).alias("_m"),
-        ).join(self.truth.select("doc_id", "truth"), "doc_id")
+            TEST_LEXICON.hit_count(F.col("_low"), TEST_LEXICON.medium).alias("_m"))
         rows = F.inline(F.array(*[
             F.struct(F.lit(name).alias("model"), hits.alias("hits"))
             for name, hits in zip(MODELS, (F.col("_h") + F.col("_m"), F.col("_h"), F.col("_m")))

@@ -46,25 +46,41 @@ def _triggered(writer, every: str | None):
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
-def publisher(path: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler that stores each result under its batch id: a replay overwrites, readers see whole versions."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-    return handle
+KEEP_VERSIONS = 20
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
 
+def publisher(path: str, keys: tuple[str, ...] = (), keep: int = KEEP_VERSIONS) -> Callable[[DataFrame, int], None]:
+    """Batch handler that publishes a whole table per batch, as ``version=<batch id>``.
 
-def current(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    """Newest row per key over all published versions: the table that update-mode batches add up to."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "version")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_r"))
-    return newest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    With ``keys`` a batch holds changed rows only (update mode): they replace
+    those of the version before.  A batch that is run again overwrites its own
+    version, readers always see a whole one, and versions older than ``keep``
+    batches are removed.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark, out = batch.sparkSession, batch
+        before = f"{path}/version={batch_id - 1}"
+        if keys and exists(spark, before):
+            changed = batch.persist()
+            kept = spark.read.schema(batch.schema).parquet(before).join(changed.select(*keys), list(keys), "left_anti")
+            out = kept.select(*batch.columns).unionByName(changed)
+        out.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        batch.unpersist()
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - keep}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return handle
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest published version."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
     entries = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
-    versions = [int(e.getPath().getName().split("=")[1]) for e in entries if e.getPath().getName().startswith("version=")]
+    versions = [
+        int(e.getPath().getName().split("=")[1]) for e in entries
+        if e.getPath().getName().startswith("version=") and exists(spark, f"{path}/{e.getPath().getName()}/_SUCCESS")]
     return spark.read.parquet(f"{path}/version={max(versions)}")

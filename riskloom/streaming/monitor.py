@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.feedback import MIN_CORRECTIONS
 from riskloom.sources import exports
-from riskloom.streaming.common import to_batches
+from riskloom.streaming.common import exists, to_batches
 
 STATE = (
     "total bigint, incorrect bigint, last_export_count bigint, last_export_batch bigint, newest timestamp, "
@@ -47,13 +47,17 @@ class CorrectionMonitor:
 
     def _stored(self, name: str, schema: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path):
+        if not exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
     def state_before(self, batch_id: int) -> State:
-        row = self._state_rows().where(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).first()
+        previous = f"{self.root}/state/batch_id={batch_id - 1}"
+        if exists(self.spark, previous + "/_SUCCESS"):  # the usual case: one small file
+            schema = self._state_rows().schema
+            row = self.spark.read.schema(schema).option("basePath", f"{self.root}/state").parquet(previous).first()
+        else:
+            row = self._state_rows().where(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).first()
         if row is None:
             return State()
         return State(**{k: v for k, v in row.asDict().items() if k not in ("batch_id", "exported")})

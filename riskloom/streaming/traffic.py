@@ -27,14 +27,15 @@ def feedback_dashboard(feedback: DataFrame, path: str, checkpoint: str, every: s
 
 
 def traffic_dashboard(visits: DataFrame, path: str, checkpoint: str, every: str | None = REFRESH) -> StreamingQuery:
-    """Visits per day and path; only changed counts are published, read them with ``common.current``.
+    """Visits per day and path; read the published table with ``common.latest``.
 
-    Days older than the retention leave the state.
+    Each batch carries the changed counts only; days older than the retention
+    leave the state.
     """
     counts = event_time(visits).withWatermark("timestamp", RETENTION).groupBy(
         F.window("timestamp", "1 day").alias("w"), "path").agg(F.count("*").alias("n_visits"))
     flat = counts.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "path", "n_visits")
-    return to_batches(flat, publisher(path), checkpoint, mode="update", every=every)
+    return to_batches(flat, publisher(path, ("day", "path")), checkpoint, mode="update", every=every)
 
 
 def daily_windows(visits: DataFrame) -> DataFrame:
