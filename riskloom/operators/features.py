@@ -76,10 +76,15 @@ def tfidf(with_grams: DataFrame, vocab: DataFrame, n_docs, key: str, column: str
     return raw.select(key, "term", "tf", F.round(F.col("raw") / norm, 6).alias("weight"))
 
 
-def pipeline(stop_words: Sequence[str], size: int = VOCABULARY, min_df: float = MIN_DF, max_df: float = MAX_DF) -> Pipeline:
-    """ML stages from ``text`` to the unit-length TF-IDF vector ``features``."""
-    return Pipeline(stages=gram_stages(stop_words) + [
+def vector_stages(size: int = VOCABULARY, min_df: float = MIN_DF, max_df: float = MAX_DF) -> list:
+    """From ``grams`` to the unit-length TF-IDF vector ``features``."""
+    return [
         CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=size, minDF=min_df, maxDF=max_df),
         IDF(inputCol="counts", outputCol="weighted"),
         Normalizer(inputCol="weighted", outputCol="features", p=2.0),
-    ])
+    ]
+
+
+def pipeline(stop_words: Sequence[str], size: int = VOCABULARY, min_df: float = MIN_DF, max_df: float = MAX_DF) -> Pipeline:
+    """All stages from ``text`` to ``features``."""
+    return Pipeline(stages=gram_stages(stop_words) + vector_stages(size, min_df, max_df))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -19,10 +19,16 @@ from riskloom.session import materialize
 
 
 def featurize(corpus: DataFrame, stop_words: Sequence[str], split: str = "split") -> tuple[PipelineModel, DataFrame]:
-    """Fit the feature stages on the train part only; features of every part, stored once."""
-    fitted = features.pipeline(stop_words).fit(corpus.where(F.col(split) == "train"))
+    """Fit the feature stages on the train part only; features of every part, stored once.
+
+    Texts are cut into grams once and stored, since fitting and transforming read
+    them several times.  The returned model holds all stages and takes raw texts.
+    """
     keep = [c for c in corpus.columns if c != "text"]
-    return fitted, materialize(fitted.transform(corpus).select(*keep, "features"), "features")
+    cut = materialize(features.grams(corpus, stop_words).select(*keep, "grams"), "grams")
+    fitted = Pipeline(stages=features.vector_stages()).fit(cut.where(F.col(split) == "train"))
+    stored = materialize(fitted.transform(cut).select(*keep, "features"), "features")
+    return PipelineModel(features.gram_stages(stop_words) + fitted.stages), stored
 
 
 def logistic(train: DataFrame, label: str = "label", max_iter: int = 1000, c: float = 1.0):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import labels as lb
 from riskloom.operators import evaluation, features, models, retraining, splits
+from riskloom.plans import retraining_cycle
 from riskloom.plans.catalog import Catalog
 from riskloom.plans.testbed import MODELS, Testbed
 
@@ -120,6 +121,12 @@ def _stacked(bed: Testbed) -> DataFrame:
     return evaluation.evaluate(models.stack(wide, MODELS))
 
 
+def _cycle(bed: Testbed) -> DataFrame:
+    """The whole cycle on the labelled corpus and its corrections; metrics by part."""
+    wrong = bed.feedback.where(~F.col("is_correct"))
+    return retraining_cycle.run(bed.corpus, wrong, "retrained", min_samples=1).metrics
+
+
 def _retraining(split_first: bool):
     def job(bed: Testbed) -> DataFrame:
         rows = retraining.tagged(bed.corpus, bed.feedback.where(~F.col("is_correct")).select(
@@ -155,6 +162,7 @@ def register(c: Catalog) -> None:
     c.add("m03_tfidf", _tfidf, TFIDF_SQL)
     c.add("m04_logistic_scores", _logistic)
     c.add("m05_train_evaluate", _train_evaluate)
+    c.add("m05_retraining_cycle", _cycle)
     c.add("m07_weighted_loss", _weighted_loss)
     c.add("m08_best_by_f1", _best_by_f1)
     c.add("d07_stacking", _stacked)

@@ -132,14 +132,14 @@ def _worst_sentences(bed: Testbed) -> DataFrame:
 
 def _problematic(bed: Testbed) -> DataFrame:
     chosen = attribution.with_sentence_text(_worst_sentences(bed), bed.documents)
-    return chosen.select("doc_id", "rank", "sentence", F.round("score", 6).alias("score"))
+    return chosen.select("doc_id", "rank", "sentence", "score")
 
 
 def _sentence_join(bed: Testbed) -> DataFrame:
     """The same scores when the words come from elsewhere: joined on (document, position)."""
     docs = bed.texts.join(bed.linear_scores.select("doc_id", "pred"), "doc_id")
     scores = attribution.sentence_scores(docs, attribution.normalize(bed.word_scores))
-    return scores.select("doc_id", "sentence_no", "n_words", F.round("score", 6).alias("score"))
+    return scores.select("doc_id", "sentence_no", "n_words", "score")
 
 
 def _merged(bed: Testbed) -> DataFrame:
@@ -220,11 +220,11 @@ def register(c: Catalog) -> None:
     c.add("x09_analyze", analyze, analysis_sql())
     c.add("x10_sentences", _sentences, "SELECT doc_id, sentence_no, sentence FROM sentences")
     c.add("x11_problematic_sentences", _problematic, """
-        SELECT doc_id, CAST(rank AS INTEGER) AS rank, sentence, round(score, 6) AS score FROM (
+        SELECT doc_id, CAST(rank AS INTEGER) AS rank, sentence, score FROM (
           SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sentence_no) AS rank
           FROM sentence_scores WHERE score >= 0.5) WHERE rank <= 3""")
     c.add("x11_sentence_scores", _sentence_join,
-          "SELECT doc_id, sentence_no, n_words, round(score, 6) AS score FROM sentence_scores")
+          "SELECT doc_id, sentence_no, n_words, score FROM sentence_scores")
     c.add("x12_merge_pieces", _merged, """
         SELECT doc_id, pos * 2 AS pos, word,
                CASE WHEN length(word) > 6 THEN score / 2 ELSE score END AS score FROM word_scores""")

@@ -4,6 +4,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from riskloom.operators import evaluation, features, models, scoring, splits
+from riskloom.plans import retraining_cycle
 
 GOOD = ["sunny day with friends", "great workout and good food", "happy family weekend trip", "new project excites me"]
 BAD = ["nothing matters anymore tonight", "cannot take this pain anymore", "everything feels dark and pain", "nobody would miss me tonight"]
@@ -83,3 +84,19 @@ def test_foreign_scorer_runs_once_per_task_and_falls_back(spark):
     got = {r["id"]: (r["method"], r["risk"]["risk_level"]) for r in document.collect()}
     assert got[1] == ("ml_model", "HIGH") or got[1][0] == "keyword_fallback"
     assert got[2] == ("keyword_fallback", "LOW")
+
+
+def test_retraining_cycle(spark, corpus):
+    original = corpus.select("doc_id", "text", F.when(F.col("label") == 1, "suicide").otherwise("non-suicide").alias("class"))
+    rows = [(i, f"{BAD[i % 4]} extra{i}", "LOW", "HIGH", False) for i in range(20)] + [(99, "fine", "LOW", "LOW", True)]
+    reviewed = spark.createDataFrame(
+        rows, "id long, text string, original_prediction string, teacher_correction string, is_correct boolean")
+    with pytest.raises(ValueError, match="insufficient"):
+        retraining_cycle.run(original, reviewed, "m")
+    cycle = retraining_cycle.run(original, reviewed, "m", min_samples=20, oversample=3)
+    assert {r["split"] for r in cycle.metrics.collect()} == {"train", "eval"}
+    log = cycle.log.first()
+    assert log["num_samples"] == 20 and '"f1"' in log["performance_metrics"]
+    in_train = cycle.training_set.where("origin = 'feedback' and split = 'train'")
+    assert in_train.count() == 3 * in_train.select("text").distinct().count()
+    assert cycle.text_model.transform(spark.createDataFrame([("dark pain",)], "text string")).count() == 1

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskloom import schemas
 from riskloom.functions import lexicon as lx
-from riskloom.operators import evaluation
+from riskloom.operators import corpus, evaluation, splits
 from riskloom.sources import exports, readers, tables
 
 TRICKY = 'line one\nline "two", with comma\n'
@@ -158,3 +158,21 @@ def test_day_partitions_prune(spark, tmp_path):
     tables.write_partitioned_by_day(df, str(tmp_path / "v"))
     picked = spark.read.parquet(str(tmp_path / "v")).where("day >= '2024-01-08'")
     assert picked.count() == 3 and "PartitionFilters: [isnotnull(day" in picked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cleaned_corpus_and_training_set_are_stored(spark, tmp_path):
+    dirty = spark.createDataFrame([("a, b", "suicide"), ("c", "odd"), (None, "suicide")], "text string, class string")
+    exports.write_csv(corpus.relabel(corpus.drop_incomplete(dirty)), str(tmp_path / "mapped"))
+    back = spark.read.schema("text string, class int").option("header", True).csv(str(tmp_path / "mapped")).collect()
+    assert [tuple(r) for r in back] == [("a, b", 1)]
+    splits.combine(dirty, dirty.limit(1), 3).write.parquet(str(tmp_path / "combined"))
+    assert spark.read.parquet(str(tmp_path / "combined")).count() == 5
+
+
+def test_stored_feedback_and_contacts_conform(spark, tmp_path):
+    review = spark.createDataFrame([(1, 10, 1, "correction")], "id long, prediction_id long, correct_class int, feedback_type string")
+    contact = spark.createDataFrame([(1, "a@b.org", "s", "m", "bug", "new")], (
+        "id long, email string, subject string, message string, submission_type string, status string"))
+    for name, df, schema in (("reviews", review, schemas.REVIEWS), ("contacts", contact, schemas.CONTACTS)):
+        tables.append(df, str(tmp_path / name), schema)
+        assert tables.read(spark, str(tmp_path / name), schema).first()["id"] == 1

@@ -127,3 +127,18 @@ def test_ingest_is_partitioned_by_day(spark, tmp_path):
     _finish(traffic.ingest(common.parquet_stream(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "out"), str(tmp_path / "cp")))
     stored = spark.read.parquet(str(tmp_path / "out"))
     assert stored.count() == 6 and stored.select("day").distinct().count() == 3
+
+
+def test_days_past_the_retention_leave_the_state(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "id long, path string, timestamp timestamp"
+    counts = lambda: traffic.daily_windows(common.parquet_stream(spark, source, spark.createDataFrame([], schema).schema))
+    removed, kept = 0, []
+    for month in (1, 3, 5):
+        spark.createDataFrame([(month, "/", dt.datetime(2024, month, 1))], schema).coalesce(1).write.mode("append").parquet(source)
+        query = common.to_batches(counts(), common.publisher(str(tmp_path / "t"), ("day",)), str(tmp_path / "cp"), mode="update")
+        query.awaitTermination()
+        for progress in query.recentProgress:
+            removed += progress["stateOperators"][0]["numRowsRemoved"]
+            kept.append(progress["stateOperators"][0]["numRowsTotal"])
+    assert removed >= 1 and kept[-1] <= 2
+    assert common.latest(spark, str(tmp_path / "t")).count() == 3
