@@ -31,12 +31,18 @@ def featurize(corpus: DataFrame, stop_words: Sequence[str], split: str = "split"
     return PipelineModel(features.gram_stages(stop_words) + fitted.stages), stored
 
 
+TOLERANCE = 1e-4
+
+
 def logistic(train: DataFrame, label: str = "label", max_iter: int = 1000, c: float = 1.0):
-    """Balanced logistic regression: class weights, L2 penalty of ``1/(c * rows)``."""
+    """Balanced logistic regression: class weights, L2 penalty of ``1/(c * rows)``.
+
+    Every iteration is a Spark job, so the tolerance decides the cost; ``max_iter`` is only a cap.
+    """
     weighted = profile.with_class_weights(train, label)
     n = train.count()
     return LogisticRegression(
-        featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter,
+        featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, tol=TOLERANCE,
         regParam=1.0 / max(1.0, c * n), elasticNetParam=0.0, standardization=False,
     ).fit(weighted)
 
@@ -44,7 +50,7 @@ def logistic(train: DataFrame, label: str = "label", max_iter: int = 1000, c: fl
 def svm(train: DataFrame, label: str = "label", max_iter: int = 100, c: float = 1.0):
     weighted = profile.with_class_weights(train, label)
     return LinearSVC(
-        featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter,
+        featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, tol=TOLERANCE,
         regParam=1.0 / max(1.0, c * train.count()), standardization=False,
     ).fit(weighted)
 
@@ -69,7 +75,7 @@ def select_by_f1(
     """Best of several penalties by F1 of the positive class on a held-out fifth of ``train``."""
     weighted = profile.with_class_weights(train, label)
     estimator = LogisticRegression(
-        featuresCol="features", labelCol=label, weightCol="weight", maxIter=100, standardization=False)
+        featuresCol="features", labelCol=label, weightCol="weight", maxIter=100, tol=TOLERANCE, standardization=False)
     grid = ParamGridBuilder().addGrid(estimator.regParam, list(reg_params)).build()
     f1 = MulticlassClassificationEvaluator(
         labelCol=label, predictionCol="prediction", metricName="fMeasureByLabel", metricLabel=1.0)

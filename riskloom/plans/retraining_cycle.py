@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import labels as lb
 from riskloom.functions import lexicon as lx
-from riskloom.operators import corpus, features, feedback, models, retraining
+from riskloom.operators import corpus, features, feedback, models, retraining, skew
 from riskloom.session import materialize
 
 
@@ -49,7 +49,7 @@ def run(
     stored = materialize(labelled, "training-set")
 
     words = stop_words if stop_words is not None else features.default_stop_words()
-    text_model, table = models.featurize(stored, words)
+    text_model, table = models.featurize(skew.spread(stored, "key"), words)
     classifier = models.logistic(table.where(F.col("split") == "train").drop("split"))
     scored = models.predictions(classifier, table, model_name, key="key")
     metrics = materialize(models.by_split(scored), "metrics")
