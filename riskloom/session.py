@@ -7,6 +7,7 @@ left at Spark's own default.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -65,3 +66,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, unless it is installed there anyway."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+    return spark
