@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe_index, ngram_jaccard, pii_anchors, quality_ledger, source_mix
+from riskloom.llm import bpe_index, ngram_jaccard, pii_anchors, quality_ledger, source_mix, token_files, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -29,10 +29,18 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_anchors.personal_data(_documents(spark, sf_dir))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_indexed(_documents(spark, sf_dir), WORD_VOCABULARY, by_word=True)
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_index.encoding_digests(_documents(spark, sf_dir), WORD_VOCABULARY)
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger.ledger(_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "failures",
@@ -43,7 +51,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": _op1,
     "op2_source_mix": _op2,
     "op3_pii_anchors": _op3,
+    "op6_token_files": _op6,
     "op7_bpe_index": _op7,
+    "op8_toxicity": _op8,
     "op10_quality_ledger": _op10,
 }
 

@@ -394,6 +394,23 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) ->
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("root"))).otherwise(F.col("doc_id")).alias("component_id")))
 
 
+def one_of_each_group(docs: DataFrame, broadcast_ids: int = 1_000_000, **settings) -> DataFrame:
+    """The documents without those that a document of smaller id stands for; rows of one ``doc_id`` count as one.
+
+    Only the ids to leave out meet the texts.  Up to ``broadcast_ids`` of them (8 bytes each) are broadcast after they
+    were counted; beyond that the join is left to the engine.
+    """
+    found = materialize(similarity_components(docs, **settings), "groups")
+    extra = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "left-out")
+    if extra.count() <= broadcast_ids:
+        extra = F.broadcast(extra)
+    kept = docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    again = materialize(found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if again.limit(1).count():
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
 def _bits_apart(x, y):
     """Bits in which two bitmaps differ."""
     return sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, BITMAP_WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))

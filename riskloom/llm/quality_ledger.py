@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm.wordhash import Block, blocks, mix
 
@@ -105,10 +106,14 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """The measurements with ``failures``: bit k is set if the document fails rule k."""
+    return measure(docs).withColumn("failures", _bits())
+
+
+def _bits() -> Column:
     bits = F.lit(0).cast("long")
     for k, failed in enumerate(_rules().values()):
         bits = bits.bitwiseOR(F.when(failed, F.lit(1 << k)).otherwise(0).cast("long"))
-    return measure(docs).withColumn("failures", bits)
+    return bits
 
 
 def verdict(policy: str = "v1") -> Column:
@@ -141,18 +146,15 @@ def apply_policy(docs: DataFrame, policy: str = "v1") -> DataFrame:
 
     The rules are evaluated beside the row itself, so no text is shuffled or joined.
     """
-    names = docs.columns
-    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    measured = packed.mapInArrow(_measure_beside, f"row {docs.schema.simpleString()}, " + ", ".join(f"{m} long" for m in _MEASURES))
-    bits = F.lit(0).cast("long")
-    for k, failed in enumerate(_rules().values()):
-        bits = bits.bitwiseOR(F.when(failed, F.lit(1 << k)).otherwise(0).cast("long"))
-    return measured.withColumn("failures", bits).where(verdict(policy)).select("row.*")
+    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(m, T.LongType()) for m in _MEASURES)])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    measured = packed.mapInArrow(_measure_beside, schema)
+    return measured.withColumn("failures", _bits()).where(verdict(policy)).select("row.*")
 
 
 def _measure_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["doc_id", "text"])
+        plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("row").field("text")], ["doc_id", "text"])
         at = 0
         for part in _measure([plain]):
             row = batch.column("row").slice(at, part.num_rows)
