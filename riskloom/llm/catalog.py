@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe_index, ngram_jaccard, pii_anchors, quality_ledger, source_mix, token_files, toxicity
+from riskloom.llm import block_labeller, bpe_index, ngram_jaccard, pii_anchors, quality_ledger, source_mix, token_files, toxicity, vector_graph
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -29,6 +29,14 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_anchors.personal_data(_documents(spark, sf_dir))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_labeller.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_indexed(_documents(spark, sf_dir), WORD_VOCABULARY, by_word=True)
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": _op1,
     "op2_source_mix": _op2,
     "op3_pii_anchors": _op3,
+    "op4_block_labeller": _op4,
+    "op5_vector_graph": _op5,
     "op6_token_files": _op6,
     "op7_bpe_index": _op7,
     "op8_toxicity": _op8,
