@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import block_labeller, bpe_index, ngram_jaccard, pii_anchors, quality_ledger, source_mix, token_files, toxicity, vector_graph
+from riskloom.llm import block_labeller, bpe_index, licence_scan, ngram_jaccard, pii_anchors, quality_ledger, source_mix, token_files, toxicity, vector_graph
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -49,6 +50,10 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(_documents(spark, sf_dir))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger.ledger(_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "failures",
@@ -64,11 +69,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": _op6,
     "op7_bpe_index": _op7,
     "op8_toxicity": _op8,
+    "op9_licence_scan": _op9,
     "op10_quality_ledger": _op10,
 }
 
 _KEY = "('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '')), 1, 13))::BIGINT"
 
+_NOTICES = ", ".join("('{}', '{}')".format(name, " ".join(re.sub(r"[^A-Za-z0-9]+", " ", t).lower().split())) for name, t in licence_scan.TEMPLATES)
+
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mix": rf"""
 WITH sized AS (
@@ -105,6 +113,32 @@ run AS (
 SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
 FROM run""",
+    "op9_licence_scan": rf"""
+WITH notices(name, notice) AS (VALUES {_NOTICES}),
+templates AS (
+  SELECT name, notice, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS grams
+  FROM (SELECT name, notice, string_split(notice, ' ') AS w FROM notices)),
+plain AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS p FROM documents),
+units AS (
+  SELECT doc_id, TRUE AS is_line, unnest(string_split(p, chr(10))) AS u FROM plain
+  UNION ALL SELECT doc_id, FALSE, unnest(string_split_regex(p, '\n ?\n[\n ]*')) FROM plain
+  UNION ALL SELECT doc_id, FALSE, p FROM plain),
+worded AS (
+  SELECT doc_id, is_line, list_filter(string_split(replace(u, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM units),
+sized AS (SELECT *, len(w) - 1 AS n FROM worded WHERE len(w) >= 2),
+scored AS (
+  SELECT doc_id, is_line, t.name, w,
+         2.0::DOUBLE * len(list_intersect([w[i] || ' ' || w[i + 1] for i in range(1, len(w))], grams)) / (n + len(grams)) AS dice, s.n
+  FROM (SELECT *, row_number() OVER () AS at FROM sized) s JOIN templates t ON 2.0 * least(n, len(grams)) / (n + len(grams)) >= 0.8),
+good AS (SELECT * FROM scored WHERE dice >= 0.8),
+line_counts AS (
+  SELECT doc_id, count(*) AS n FROM (
+    SELECT doc_id, unnest(string_split(p, chr(10))) AS u FROM plain) l
+  WHERE EXISTS (SELECT 1 FROM good g WHERE g.doc_id = l.doc_id AND g.is_line AND g.w = list_filter(string_split(l.u, ' '), lambda x: x <> ''))
+  GROUP BY doc_id),
+best AS (SELECT doc_id, max({{'dice': dice, 'name': name}}) AS b FROM good GROUP BY doc_id)
+SELECT d.doc_id, b.b.name AS license, coalesce(b.b.dice, 0.0) AS dice, coalesce(c.n, 0)::BIGINT AS n_license_lines
+FROM plain d LEFT JOIN best b USING (doc_id) LEFT JOIN line_counts c USING (doc_id)""",
     "op10_quality_ledger": r"""
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
