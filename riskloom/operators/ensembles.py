@@ -14,7 +14,7 @@ HIGH_CONFIDENCE = 0.9
 def soft_vote(df: DataFrame, key: str = "key") -> DataFrame:
     """Mean probability of all models per row; positive above one half."""
     voted = df.groupBy(key).agg(
-        F.round(F.avg("prob"), 6).alias("prob"), F.max("truth").alias("truth"), F.count("*").alias("n_models"))
+        F.avg("prob").alias("prob"), F.max("truth").alias("truth"), F.count("*").alias("n_models"))
     return voted.withColumn("pred", (F.col("prob") > 0.5).cast("int"))
 
 
@@ -23,7 +23,7 @@ def weighted_vote(df: DataFrame, weights: DataFrame, key: str = "key") -> DataFr
     joined = df.join(F.broadcast(weights.select("model", "weight")), "model")  # one row per model
     total = F.sum("weight")
     voted = joined.groupBy(key).agg(
-        F.round(F.when(total > 0, F.sum(F.col("prob") * F.col("weight")) / total).otherwise(0.0), 6).alias("prob"),
+        F.when(total > 0, F.sum(F.col("prob") * F.col("weight")) / total).otherwise(0.0).alias("prob"),
         F.max("truth").alias("truth"),
     )
     return voted.withColumn("pred", (F.col("prob") > 0.5).cast("int"))

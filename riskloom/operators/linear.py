@@ -1,7 +1,8 @@
 """A relational linear text scorer: smoothed log-odds weight per term.
 
-The score of a text is the sum of the weights of its distinct terms, its
-probability the sigmoid of that.  Weights are kept in whole millionths so that
+The score of a text is the intercept plus the weights of its distinct terms, its
+probability the sigmoid of that.  The intercept is the weight of the empty term,
+which every text has once.  Weights are kept in whole millionths so that
 sums do not depend on the order in which Spark adds them.
 """
 
@@ -12,50 +13,49 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
 from riskloom.operators import scoring
-from riskloom.operators.skew import salted_join
 
 MICRO = 1_000_000.0
-BROADCAST_TERMS = 1_000_000  # about 60 MB of weights
 
 
 def term_rows(df: DataFrame, key: str, column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct lower-case white-space terms per row; a blank text gives one empty term."""
-    terms = F.array_distinct(tx.words(F.lower(column)))
-    return df.select(key, *carry, F.explode_outer(terms).alias("term")).withColumn(
-        "term", F.coalesce("term", F.lit("")))
+    """Distinct lower-case white-space terms per row, and the empty term once; a null text has the empty term alone."""
+    terms = F.array_union(F.array(F.lit("")), F.coalesce(tx.words(F.lower(column)), F.array().cast("array<string>")))
+    return df.select(key, *carry, F.explode(terms).alias("term"))
 
 
 def fit_weights(labelled: DataFrame, key: str, label: str = "label", column: str = "text") -> DataFrame:
-    """``term, pos_df, neg_df, weight_micro`` from a labelled corpus."""
+    """``term, pos_df, neg_df, weight_micro`` from a labelled corpus.
+
+    Counts are smoothed towards the base rate, so a term that no class has seen
+    often weighs next to nothing.  The row of the empty term is the intercept,
+    the log odds of the classes; without one of the classes it is 0.
+    """
     totals = labelled.agg(F.struct(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))).scalar()
     counts = term_rows(labelled, key, column, (label,)).groupBy("term").agg(
         F.count_if(F.col(label) == 1).alias("pos_df"), F.count_if(F.col(label) == 0).alias("neg_df"))
-    odds = F.ln((F.col("pos_df") + 1) / (totals["pos"] + 2)) - F.ln((F.col("neg_df") + 1) / (totals["neg"] + 2))
-    return counts.where(F.col("term") != "").withColumn("weight_micro", F.round(odds * MICRO).cast("long"))
+    pos, neg = totals["pos"], totals["neg"]
+    rate = pos / (pos + neg)
+    odds = F.ln((F.col("pos_df") + rate) / (pos + 1)) - F.ln((F.col("neg_df") + (F.lit(1.0) - rate)) / (neg + 1))
+    intercept = F.when((pos > 0) & (neg > 0), F.ln(pos / neg)).otherwise(0.0)
+    weight = F.when(F.col("term") == "", intercept).otherwise(F.coalesce(odds, F.lit(0.0)))
+    return counts.withColumn("weight_micro", F.round(weight * MICRO).cast("long"))
 
 
-def _with_weight(rows: DataFrame, weights: DataFrame, term: str, key: str, small: bool) -> DataFrame:
-    table = weights.select(F.col("term").alias(term), "weight_micro")
-    if small:
-        return rows.join(F.broadcast(table), term, "left")
-    return salted_join(rows, table, term, F.col(key), "left")
+def _with_weight(rows: DataFrame, weights: DataFrame, term: str) -> DataFrame:
+    """One plan for every vocabulary: a left join whose strategy follows the table's measured bytes."""
+    return rows.join(weights.select(F.col("term").alias(term), "weight_micro"), term, "left")
 
 
-def score(df: DataFrame, weights: DataFrame, key: str, column: str = "text", small: bool = False) -> DataFrame:
-    """``key, z_micro, prob, pred, confidence`` for every row of ``df``.
-
-    ``small`` says that ``weights`` was checked to have at most
-    ``BROADCAST_TERMS`` rows; the terms then never leave their task.  Otherwise
-    the terms are shuffled with the frequent ones salted.
-    """
-    joined = _with_weight(term_rows(df, key, column), weights, "term", key, small)
+def score(df: DataFrame, weights: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """``key, z_micro, prob, pred, confidence`` for every row of ``df``; nothing is rounded."""
+    joined = _with_weight(term_rows(df, key, column), weights, "term")
     summed = joined.groupBy(key).agg(F.sum(F.coalesce("weight_micro", F.lit(0))).alias("z_micro"))
     return with_probability(summed)
 
 
 def with_probability(df: DataFrame, z_micro: str = "z_micro") -> DataFrame:
-    prob = F.round(scoring.sigmoid(F.col(z_micro) / MICRO), 6)
+    prob = scoring.sigmoid(F.col(z_micro) / MICRO)
     pred = (F.col(z_micro) > 0).cast("int")
     return (
         df.withColumn("prob", prob).withColumn("pred", pred)
@@ -64,7 +64,7 @@ def with_probability(df: DataFrame, z_micro: str = "z_micro") -> DataFrame:
 
 
 def word_scores(
-    df: DataFrame, weights: DataFrame, key: str, column: str = "text", small: bool = False, sentences: bool = False
+    df: DataFrame, weights: DataFrame, key: str, column: str = "text", sentences: bool = False
 ) -> DataFrame:
     """``key, pos, word, score``: every white-space word in order with its weight.
 
@@ -77,7 +77,7 @@ def word_scores(
     ``sentences`` adds ``sentence_no``: the sentence that the running word cursor
     has reached, null past the last one; worked out inside the row.
     """
-    placed = df.repartition(key) if small else df
+    placed = df.repartition(key)
     words = tx.words(F.lower(column))
     if sentences:
         counts = F.transform(tx.sentences(F.col(column)), tx.word_count)
@@ -86,7 +86,7 @@ def word_scores(
             F.col("_z.w").isNotNull()).select(key, "pos", F.col("_z.w").alias("word"), F.col("_z.s").alias("sentence_no"))
     else:
         rows = placed.select(key, F.posexplode(words).alias("pos", "word"))
-    joined = _with_weight(rows, weights, "word", key, small)
+    joined = _with_weight(rows, weights.where("term <> ''"), "word")
     kept = [c for c in rows.columns if c not in (key, "pos", "word")]
     return joined.select(key, "pos", "word", (F.coalesce("weight_micro", F.lit(0)) / MICRO).alias("score"), *kept)
 

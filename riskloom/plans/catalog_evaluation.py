@@ -65,7 +65,7 @@ def _auc(bed: Testbed) -> DataFrame:
 
 def _auc_linear(bed: Testbed) -> DataFrame:
     """Many distinct scores: the linear scorer against the truth."""
-    joined = bed.linear_scores.join(bed.truth, "doc_id").withColumn("model", F.lit("linear"))
+    joined = bed.linear_scores.join(bed.truth, "doc_id").withColumns({"model": F.lit("linear"), "prob": F.round("prob", 12)})
     return evaluation.roc_auc(joined).withColumn("auc_roc", F.round("auc_roc", 9))
 
 
@@ -79,12 +79,12 @@ def _training_times(bed: Testbed) -> DataFrame:
 
 
 def _votes(bed: Testbed) -> DataFrame:
-    return ensembles.soft_vote(bed.model_predictions)
+    return ensembles.soft_vote(bed.model_predictions).withColumn("prob", F.round("prob", 6))
 
 
 def _weighted(bed: Testbed) -> DataFrame:
     weights = _table(bed).select("model", F.round("f1", 6).alias("weight"))
-    return ensembles.weighted_vote(bed.model_predictions, weights)
+    return ensembles.weighted_vote(bed.model_predictions, weights).withColumn("prob", F.round("prob", 6))
 
 
 def _review(bed: Testbed) -> DataFrame:
@@ -153,7 +153,7 @@ def register(c: Catalog) -> None:
                        + (count(*) OVER (PARTITION BY model, prob) - 1) / 2 AS mid FROM ({0})) GROUP BY model)"""
     c.add("e06_roc_auc", _auc, auc_sql.format("SELECT * FROM model_predictions"))
     c.add("e06_roc_auc_linear", _auc_linear, auc_sql.format(
-        "SELECT 'linear' AS model, s.prob, t.truth FROM linear_scores s JOIN truth_rows t ON s.doc_id = t.doc_id"))
+        "SELECT 'linear' AS model, round(s.prob, 12) AS prob, t.truth FROM linear_scores s JOIN truth_rows t ON s.doc_id = t.doc_id"))
     c.add("e07_confidence", lambda b: evaluation.confidence_report(b.model_predictions), f"""
         SELECT model, count(*) AS n_rows, round(avg(c), 6) AS mean_confidence,
                {pct('count(*) FILTER (WHERE c > 0.9)', 'count(*)')} AS pct_high,
@@ -247,11 +247,11 @@ def register(c: Catalog) -> None:
                round(quantile_cont(f1, 0.975), 6) AS f1_high
         FROM ({boot.replace("range(1, 21)", "range(1, 101)")}) GROUP BY model""")
     c.add("d05_soft_vote", _votes, """
-        SELECT *, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred FROM (
-          SELECT key, round(avg(prob), 6) AS prob, max(truth) AS truth, count(*) AS n_models FROM model_predictions GROUP BY key)""")
+        SELECT key, round(prob, 6) AS prob, truth, n_models, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred FROM (
+          SELECT key, avg(prob) AS prob, max(truth) AS truth, count(*) AS n_models FROM model_predictions GROUP BY key)""")
     c.add("d06_weighted_vote", _weighted, """
-        SELECT *, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred FROM (
-          SELECT key, round(CASE WHEN sum(w) > 0 THEN sum(prob * w) / sum(w) ELSE 0 END, 6) AS prob, max(truth) AS truth
+        SELECT key, round(prob, 6) AS prob, truth, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred FROM (
+          SELECT key, CASE WHEN sum(w) > 0 THEN sum(prob * w) / sum(w) ELSE 0 END AS prob, max(truth) AS truth
           FROM (SELECT p.*, round(m.f1, 6) AS w FROM model_predictions p JOIN metrics m ON p.model = m.model) GROUP BY key)""")
     c.add("d08_error_buckets", lambda b: ensembles.error_buckets(b.model_predictions),
           f"SELECT model, bucket, count(*) AS n_rows FROM ({BUCKET_SQL}) GROUP BY 1, 2")

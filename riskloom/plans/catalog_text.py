@@ -82,20 +82,25 @@ def _keyword(bed: Testbed) -> DataFrame:
         "triggers", F.array_join("triggers", "; "))
 
 
+def _shown(df: DataFrame, *columns: str) -> DataFrame:
+    """Rounded for comparison only; nothing is decided on rounded values."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 def _model_scores(bed: Testbed) -> DataFrame:
-    return bed.linear_scores.select("doc_id", "pred", "confidence")
+    return _shown(bed.linear_scores.select("doc_id", "pred", "confidence"), "confidence")
 
 
 def _model_levels(bed: Testbed) -> DataFrame:
     pred, conf = F.col("pred"), F.col("confidence")
-    return bed.linear_scores.select(
+    return _shown(bed.linear_scores.select(
         "doc_id", "pred", "confidence", scoring.model_level(pred, conf).alias("risk_level"),
-        scoring.model_guidance(pred, conf).alias("guidance"))
+        scoring.model_guidance(pred, conf).alias("guidance")), "confidence")
 
 
 def _direction(bed: Testbed) -> DataFrame:
-    return bed.linear_scores.select(
-        "doc_id", scoring.directional_score(F.col("pred"), F.col("confidence")).alias("score"))
+    return _shown(bed.linear_scores.select(
+        "doc_id", scoring.directional_score(F.col("pred"), F.col("confidence")).alias("score")), "score")
 
 
 def _partly_scored(bed: Testbed) -> DataFrame:
@@ -106,7 +111,7 @@ def _partly_scored(bed: Testbed) -> DataFrame:
 def _fallback(bed: Testbed) -> DataFrame:
     document = scoring.analyze(_partly_scored(bed), TEST_LEXICON, model_class="pred", model_confidence="confidence")
     return document.select(
-        "doc_id", F.col("risk.risk_level").alias("risk_level"), F.col("risk.score").alias("score"),
+        "doc_id", F.col("risk.risk_level").alias("risk_level"), F.round(F.col("risk.score"), 6).alias("score"),
         F.col("risk.prediction").alias("prediction"), F.col("risk.guidance").alias("guidance"))
 
 
@@ -124,10 +129,7 @@ def _sentences(bed: Testbed) -> DataFrame:
 
 
 def _worst_sentences(bed: Testbed) -> DataFrame:
-    words = attribution.normalize(bed.sentence_words)
-    positive = bed.linear_scores.where(F.col("pred") == 1).select("doc_id")
-    means = attribution.sentence_means(words).join(positive, "doc_id", "left_semi")
-    return attribution.problematic_sentences(means)
+    return attribution.problematic_sentences(attribution.sentence_means(attribution.normalize(bed.sentence_words)))
 
 
 def _problematic(bed: Testbed) -> DataFrame:
@@ -138,7 +140,7 @@ def _problematic(bed: Testbed) -> DataFrame:
 def _sentence_join(bed: Testbed) -> DataFrame:
     """The same scores when the words come from elsewhere: joined on (document, position)."""
     docs = bed.texts.join(bed.linear_scores.select("doc_id", "pred"), "doc_id")
-    scores = attribution.sentence_scores(docs, attribution.normalize(bed.word_scores))
+    scores = attribution.sentence_scores(docs, attribution.normalize(bed.positive_words))
     return scores.select("doc_id", "sentence_no", "n_words", "score")
 
 
@@ -147,7 +149,7 @@ def _merged(bed: Testbed) -> DataFrame:
 
 
 def _normalized(bed: Testbed) -> DataFrame:
-    return attribution.normalize(bed.word_scores)
+    return attribution.normalize(bed.attributions).select("doc_id", "pos", "word", "score", "normalized_score")
 
 
 def _marked(bed: Testbed) -> DataFrame:
@@ -156,9 +158,8 @@ def _marked(bed: Testbed) -> DataFrame:
 
 
 def _triggers(bed: Testbed) -> DataFrame:
-    marked = attribution.mark_important(_normalized(bed))
-    with_pred = marked.join(bed.linear_scores.select("doc_id", "pred"), "doc_id")
-    return attribution.trigger_words(with_pred).select("doc_id", "rank", "pos", "word")
+    marked = attribution.mark_important(attribution.normalize(bed.positive_words))
+    return attribution.trigger_words(marked.withColumn("pred", F.lit(1))).select("doc_id", "rank", "pos", "word")
 
 
 def _top_words(bed: Testbed) -> DataFrame:
@@ -166,9 +167,7 @@ def _top_words(bed: Testbed) -> DataFrame:
 
 
 def _token_attribution(bed: Testbed) -> DataFrame:
-    scored = bed.word_scores.join(bed.linear_scores.select("doc_id", "pred"), "doc_id")
-    return scored.select(
-        "doc_id", "pos", "word", linear.signed_for_class(F.col("score"), F.col("pred")).alias("attribution"))
+    return bed.attributions.select("doc_id", "pos", "word", F.col("score").alias("attribution"))
 
 
 def _two_class(bed: Testbed) -> DataFrame:
@@ -192,23 +191,23 @@ def _severity(bed: Testbed) -> DataFrame:
 
 
 def _weights(bed: Testbed) -> DataFrame:
-    return bed.weights[0].select("term", "pos_df", "neg_df", "weight_micro")
+    return bed.weights.select("term", "pos_df", "neg_df", "weight_micro")
 
 
 def _linear(bed: Testbed) -> DataFrame:
-    return bed.linear_scores
+    return _shown(bed.linear_scores, "prob", "confidence")
 
 
 def register(c: Catalog) -> None:
     c.add("x01_redact_pii", _redact, REDACTED_SQL)
     c.add("x02_keyword_risk", _keyword, keyword_sql("SELECT * FROM documents", "text", "doc_id"))
-    c.add("x03_model_scores", _model_scores, "SELECT doc_id, pred, confidence FROM linear_scores")
+    c.add("x03_model_scores", _model_scores, "SELECT doc_id, pred, round(confidence, 6) AS confidence FROM linear_scores")
     c.add("x04_model_risk_level", _model_levels,
-          f"SELECT doc_id, pred, confidence, risk_level, guidance FROM ({model_risk_sql('SELECT * FROM linear_scores')})")
+          f"SELECT doc_id, pred, round(confidence, 6) AS confidence, risk_level, guidance FROM ({model_risk_sql('SELECT * FROM linear_scores')})")
     c.add("x05_directional_score", _direction,
-          f"SELECT doc_id, score FROM ({model_risk_sql('SELECT * FROM linear_scores')})")
+          f"SELECT doc_id, round(score, 6) AS score FROM ({model_risk_sql('SELECT * FROM linear_scores')})")
     c.add("x06_model_or_keywords", _fallback, f"""
-        SELECT k.doc_id, coalesce(m.risk_level, k.risk_level) AS risk_level, coalesce(m.score, k.score) AS score,
+        SELECT k.doc_id, coalesce(m.risk_level, k.risk_level) AS risk_level, round(coalesce(m.score, k.score), 6) AS score,
                m.prediction, coalesce(m.guidance, k.guidance) AS guidance
         FROM ({keyword_sql(REDACTED_SQL, 'redacted', 'doc_id')}) k
         LEFT JOIN ({model_risk_sql(PARTIAL_SQL)}) m ON k.doc_id = m.doc_id""")
@@ -240,8 +239,7 @@ def register(c: Catalog) -> None:
           SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY normalized_score DESC, pos) AS rank
           FROM normalized) WHERE rank <= 10""")
     c.add("x17_token_attribution", _token_attribution, """
-        SELECT w.doc_id, w.pos, w.word, CASE WHEN s.pred = 1 THEN w.score ELSE -w.score END AS attribution
-        FROM word_scores w JOIN linear_scores s ON w.doc_id = s.doc_id""")
+        SELECT doc_id, pos, word, score AS attribution FROM attributions""")
     c.add("x18_softmax_argmax", _two_class, """
         SELECT doc_id, round(1.0e0 - p, 6) AS p0, round(p, 6) AS p1, round(p, 6) AS p1_from_array,
                CASE WHEN z_micro > 0 THEN 1 ELSE 0 END AS pred
@@ -255,4 +253,4 @@ def register(c: Catalog) -> None:
         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sentence_no) AS rank
               FROM sentence_scores WHERE score >= 0.5) WHERE rank <= 3 GROUP BY 1""")
     c.add("m06_term_weights", _weights, "SELECT term, pos_df, neg_df, weight_micro FROM term_weights")
-    c.add("m06_linear_scores", _linear, "SELECT doc_id, z_micro, prob, pred, confidence FROM linear_scores")
+    c.add("m06_linear_scores", _linear, "SELECT doc_id, z_micro, round(prob, 6) AS prob, pred, round(confidence, 6) AS confidence FROM linear_scores")

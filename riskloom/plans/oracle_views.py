@@ -135,30 +135,37 @@ VIEWS: dict[str, str] = {
         SELECT doc_id, class, unnest(list_distinct({words('lower(text)')})) AS term FROM corpus""",
     "term_weights": """
         SELECT term, pos_df, neg_df,
-               CAST(round((ln((pos_df + 1) / (n_pos + 2)) - ln((neg_df + 1) / (n_neg + 2))) * 1000000) AS BIGINT)
-                 AS weight_micro
+               CAST(round((ln((pos_df + n_pos / (n_pos + n_neg)) / (n_pos + 1))
+                           - ln((neg_df + (1.0e0 - n_pos / (n_pos + n_neg))) / (n_neg + 1))) * 1000000) AS BIGINT) AS weight_micro
         FROM (SELECT term, count(*) FILTER (WHERE class = 'suicide') AS pos_df,
                      count(*) FILTER (WHERE class = 'non-suicide') AS neg_df
-              FROM corpus_terms GROUP BY term) t, class_totals""",
+              FROM corpus_terms WHERE term <> '' GROUP BY term) t, class_totals
+        UNION ALL
+        SELECT '', n_pos, n_neg, CAST(round(CASE WHEN n_pos > 0 AND n_neg > 0 THEN ln(n_pos / n_neg) ELSE 0 END * 1000000) AS BIGINT)
+        FROM class_totals""",
     "doc_words": f"""
         SELECT doc_id, unnest(w) AS word, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos
         FROM (SELECT doc_id, {words('lower(text)')} AS w FROM documents)""",
     "doc_z": """
-        SELECT d.doc_id, CAST(coalesce(z.z, 0) AS BIGINT) AS z_micro FROM documents d LEFT JOIN (
-          SELECT t.doc_id, sum(w.weight_micro) AS z FROM (SELECT DISTINCT doc_id, word FROM doc_words) t
+        SELECT d.doc_id, CAST(i.weight_micro + coalesce(z.z, 0) AS BIGINT) AS z_micro
+        FROM documents d CROSS JOIN (SELECT weight_micro FROM term_weights WHERE term = '') i LEFT JOIN (
+          SELECT t.doc_id, sum(w.weight_micro) AS z FROM (SELECT DISTINCT doc_id, word FROM doc_words WHERE word <> '') t
           JOIN term_weights w ON t.word = w.term GROUP BY t.doc_id) z ON d.doc_id = z.doc_id""",
     "linear_scores": """
         SELECT doc_id, z_micro, prob, pred, CASE WHEN pred = 1 THEN prob ELSE 1.0e0 - prob END AS confidence
-        FROM (SELECT doc_id, z_micro, round(1.0e0 / (1.0e0 + exp(-(z_micro / 1000000.0e0))), 6) AS prob,
+        FROM (SELECT doc_id, z_micro, 1.0e0 / (1.0e0 + exp(-(z_micro / 1000000.0e0))) AS prob,
                      CASE WHEN z_micro > 0 THEN 1 ELSE 0 END AS pred FROM doc_z)""",
     "word_scores": """
         SELECT d.doc_id, d.pos, d.word, coalesce(w.weight_micro, 0) / 1000000.0e0 AS score
-        FROM doc_words d LEFT JOIN term_weights w ON d.word = w.term""",
+        FROM doc_words d LEFT JOIN term_weights w ON d.word = w.term AND w.term <> ''""",
+    "attributions": """
+        SELECT w.doc_id, w.pos, w.word, CASE WHEN s.pred = 1 THEN w.score ELSE -w.score END AS score
+        FROM word_scores w JOIN linear_scores s ON w.doc_id = s.doc_id""",
     "normalized": """
         SELECT doc_id, pos, word, score,
                CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0e0 END AS normalized_score
         FROM (SELECT *, min(score) OVER (PARTITION BY doc_id) AS lo, max(score) OVER (PARTITION BY doc_id) AS hi
-              FROM word_scores)""",
+              FROM attributions)""",
     "marked": """
         SELECT n.*, n.normalized_score >= c.cut AS is_important, s.pred
         FROM normalized n

@@ -33,7 +33,7 @@ CONTACT_TYPES = ("crash_report", "bug", "feedback", "question")
 CONTACT_STATES = ("new", "reviewed", "resolved")
 FEEDBACK_STATES = ("pending", "reviewed", "incorporated")
 
-_weights: dict[tuple[str, str], tuple[DataFrame, bool]] = {}
+_weights: dict[tuple[str, str], DataFrame] = {}
 
 
 def pick(values: tuple[str, ...], index: Column) -> Column:
@@ -212,29 +212,41 @@ class Testbed:
     # --- linear scorer ---
 
     @property
-    def weights(self) -> tuple[DataFrame, bool]:
-        """Stored term weights and whether they were counted to be small enough to broadcast."""
+    def weights(self) -> DataFrame:
+        """Stored term weights."""
         at = (self.spark.sparkContext.applicationId, self.sf_dir)
         if at not in _weights:
             labelled = self.corpus.withColumn("label", lb.class_of(F.col("class")))
-            stored = materialize(linear.fit_weights(labelled, "doc_id"), "term-weights")
-            _weights[at] = (stored, skew.fits(stored, linear.BROADCAST_TERMS))
+            _weights[at] = materialize(linear.fit_weights(labelled, "doc_id"), "term-weights")
         return _weights[at]
 
     @cached_property
     def linear_scores(self) -> DataFrame:
-        weights, small = self.weights
-        return linear.score(self.texts, weights, "doc_id", small=small)
+        return linear.score(self.texts, self.weights, "doc_id")
 
     @cached_property
     def word_scores(self) -> DataFrame:
-        weights, small = self.weights
-        return linear.word_scores(self.documents, weights, "doc_id", small=small)
+        return linear.word_scores(self.documents, self.weights, "doc_id")
+
+    @cached_property
+    def attributions(self) -> DataFrame:
+        """Word scores towards the class predicted for their document."""
+        scored = self.word_scores.join(self.linear_scores.select("doc_id", "pred"), "doc_id")
+        return scored.withColumn("score", linear.signed_for_class(F.col("score"), F.col("pred")))
+
+    @cached_property
+    def positive_documents(self) -> DataFrame:
+        positive = self.linear_scores.where(F.col("pred") == 1).select("doc_id")
+        return self.documents.join(positive, "doc_id", "left_semi")
+
+    @cached_property
+    def positive_words(self) -> DataFrame:
+        """The words of positive documents alone, which need no sign; other texts are never cut."""
+        return linear.word_scores(self.positive_documents, self.weights, "doc_id")
 
     @cached_property
     def sentence_words(self) -> DataFrame:
-        weights, small = self.weights
-        return linear.word_scores(self.documents, weights, "doc_id", small=small, sentences=True)
+        return linear.word_scores(self.positive_documents, self.weights, "doc_id", sentences=True)
 
     @cached_property
     def pieces(self) -> DataFrame:

@@ -1,5 +1,6 @@
 """Attribution against straightforward Python on random documents."""
 
+import math
 import random
 import statistics
 
@@ -45,10 +46,9 @@ def frames(spark, docs, scores):
     return texts, weights
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_words_and_normalisation(frames, docs, scores, small):
+def test_words_and_normalisation(frames, docs, scores):
     texts, weights = frames
-    words = linear.word_scores(texts, weights, "doc_id", small=small)
+    words = linear.word_scores(texts, weights, "doc_id")
     marked = attribution.mark_important(attribution.normalize(words))
     got = {}
     for r in marked.orderBy("doc_id", "pos").collect():
@@ -64,7 +64,7 @@ def test_words_and_normalisation(frames, docs, scores, small):
 
 def test_triggers_and_top_words(frames, docs, scores):
     texts, weights = frames
-    norm = attribution.normalize(linear.word_scores(texts, weights, "doc_id", small=True))
+    norm = attribution.normalize(linear.word_scores(texts, weights, "doc_id"))
     marked = attribution.mark_important(norm).join(texts.select("doc_id", "pred"), "doc_id")
     triggers, top = {}, {}
     for r in attribution.trigger_words(marked).orderBy("rank").collect():
@@ -97,10 +97,10 @@ def _worst(t, values):
 def test_problematic_sentences(frames, docs, scores, joined):
     texts, weights = frames
     if joined:
-        norm = attribution.normalize(linear.word_scores(texts, weights, "doc_id", small=True))
+        norm = attribution.normalize(linear.word_scores(texts, weights, "doc_id"))
         chosen = attribution.problematic_sentences(attribution.sentence_scores(texts, norm))
     else:
-        norm = attribution.normalize(linear.word_scores(texts, weights, "doc_id", small=True, sentences=True))
+        norm = attribution.normalize(linear.word_scores(texts, weights, "doc_id", sentences=True))
         positive = norm.join(texts.where("pred = 1").select("doc_id"), "doc_id", "left_semi")
         chosen = attribution.with_sentence_text(
             attribution.problematic_sentences(attribution.sentence_means(positive)), texts)
@@ -140,11 +140,38 @@ def test_merge_pieces(spark, block):
     assert got == expected
 
 
-def test_linear_scores_agree_on_both_paths(spark, frames):
+@pytest.mark.parametrize("limit", ["-1", "10MB"])
+def test_scores_do_not_depend_on_the_join(spark, frames, limit):
     texts, weights = frames
-    small = {tuple(r) for r in linear.score(texts, weights, "doc_id", small=True).collect()}
-    large = {tuple(r) for r in linear.score(texts, weights, "doc_id", small=False).collect()}
-    assert small == large and len(small) == texts.count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        got = {r["doc_id"]: r["z_micro"] for r in linear.score(texts, weights, "doc_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    micro = {r["term"]: r["weight_micro"] for r in weights.collect()}
+    assert got == {r["doc_id"]: sum(micro[w] for w in set(r["text"].split())) for r in texts.collect()}
+
+
+def test_fitted_weights_follow_the_base_rate(spark):
+    """The bad word alone makes a text positive, and the intercept is the log odds."""
+    rows = [(i, "good day" if i % 5 else "bad day", int(i % 5 == 0)) for i in range(100)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    weights = linear.fit_weights(data, "doc_id")
+    found = {r["term"]: r["weight_micro"] / 1e6 for r in weights.collect()}
+    assert found[""] == pytest.approx(math.log(20 / 80), abs=1e-6) and found["bad"] > 3 and abs(found["day"]) < 0.1
+    got = {r["doc_id"]: r["pred"] for r in linear.score(data, weights, "doc_id").collect()}
+    assert got == {i: y for i, _, y in rows}
+
+
+def test_scorer_quality_on_the_test_tables(spark):
+    from riskloom.plans.testbed import Testbed
+
+    bed = Testbed(spark, "/root/testdata/sf0.01")
+    scored = bed.linear_scores.join(bed.table("labels").select("doc_id", "toxic"), "doc_id", "left").collect()
+    assert 0.05 <= sum(r["pred"] for r in scored) / len(scored) <= 0.15
+    known = [r for r in scored if r["toxic"] is not None]
+    assert sum(r["pred"] == r["toxic"] for r in known) / len(known) > 0.95
 
 
 def test_blank_texts_have_a_score(spark, frames):
