@@ -109,12 +109,21 @@ def stack(wide: DataFrame, probs: Sequence[str], label: str = "truth", key: str
     return scored[0].unionByName(scored[1]).withColumn("model", F.lit("stacked"))
 
 
+def _score_one(scorer: Callable[[pd.Series], pd.Series], text: str | None) -> float | None:
+    try:
+        return float(pd.Series(scorer(pd.Series([text]))).iloc[0])
+    except Exception:  # noqa: BLE001 - a text that fails falls back to keywords
+        return None
+
+
 def external_scores(
     df: DataFrame, make_scorer: Callable[[], Callable[[pd.Series], pd.Series]], key: str, column: str = "text",
     key_type: str = "long",
 ) -> DataFrame:
     """Probabilities from a model that is not Spark's: ``key, prob``, null where scoring failed.
 
+    A batch that the model refuses is scored text by text, so one bad text costs only its own score.
+
     ``make_scorer`` runs once per task and returns a function from a batch of
     texts to probabilities.
     """
@@ -123,8 +132,8 @@ def external_scores(
         for batch in batches:
             try:
                 prob = scorer(batch[column])
-            except Exception:  # noqa: BLE001 - a failed batch falls back to keywords
-                prob = pd.Series([None] * len(batch), dtype="float64")
+            except Exception:  # noqa: BLE001 - whatever a foreign model raises
+                prob = pd.Series([_score_one(scorer, text) for text in batch[column]], dtype="float64")
             yield pd.DataFrame({key: batch[key].values, "prob": pd.Series(prob).values})
 
     return df.select(key, column).mapInPandas(run, f"{key} {key_type}, prob double")

@@ -239,13 +239,13 @@ def register(c: Catalog) -> None:
           FROM (SELECT *, CASE {weight} ELSE {len(significance.POISSON_1)} END AS w FROM (
             SELECT m.*, CAST(r AS INTEGER) AS replicate,
                    CAST(('0x' || substring(md5('42|' || r || '|' || key), 1, 8)) AS BIGINT) / 4294967296.0e0 AS u
-            FROM model_predictions m, range(1, 21) g(r) WHERE pred = 1 OR truth = 1)) GROUP BY 1, 2)"""
-    c.add("d04_bootstrap_f1", lambda b: significance.bootstrap_f1(b.model_predictions, 20), boot)
+            FROM model_predictions m, range(1, 201) g(r) WHERE pred = 1 OR truth = 1)) GROUP BY 1, 2)"""
+    c.add("d04_bootstrap_f1", lambda b: significance.bootstrap_f1(b.model_predictions), boot)
     c.add("d04_bootstrap_interval",
-          lambda b: significance.bootstrap_interval(significance.bootstrap_f1(b.model_predictions, 100)), f"""
+          lambda b: significance.bootstrap_interval(significance.bootstrap_f1(b.model_predictions)), f"""
         SELECT model, count(*) AS n_replicates, round(avg(f1), 6) AS f1_mean, round(quantile_cont(f1, 0.025), 6) AS f1_low,
                round(quantile_cont(f1, 0.975), 6) AS f1_high
-        FROM ({boot.replace("range(1, 21)", "range(1, 101)")}) GROUP BY model""")
+        FROM ({boot}) GROUP BY model""")
     c.add("d05_soft_vote", _votes, """
         SELECT key, round(prob, 6) AS prob, truth, n_models, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred FROM (
           SELECT key, avg(prob) AS prob, max(truth) AS truth, count(*) AS n_models FROM model_predictions GROUP BY key)""")

@@ -64,8 +64,7 @@ def _bars(bed: Testbed) -> DataFrame:
 
 def _marked(bed: Testbed) -> DataFrame:
     analyses = bed.visitors.where(F.col("path") == "/purchase").select("ip_address", "timestamp")
-    visits = bed.visitors.where(F.col("path") == "/view")
-    return vs.mark_analyses(visits, analyses).select("id", "led_to_analysis")
+    return vs.mark_analyses(vs.page_views(bed.visitors), analyses).select("id", "led_to_analysis")
 
 
 def register(c: Catalog) -> None:
@@ -107,8 +106,8 @@ def register(c: Catalog) -> None:
                false AS led_to_analysis FROM visitors ORDER BY ts DESC, id DESC LIMIT 50""")
     c.add("v13_retention", lambda b: vs.keep_recent(b.visitors, b.asof, 20).select("id", "path"), """
         SELECT id, path FROM visitors WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 20 DAY""")
-    c.add("v14_led_to_analysis", _marked, """
+    c.add("v14_led_to_analysis", _marked, f"""
         SELECT v.id, EXISTS (SELECT 1 FROM visitors a WHERE a.path = '/purchase' AND a.ip_address = v.ip_address
                              AND a.ts >= v.ts AND a.ts <= v.ts + INTERVAL 30 MINUTE) AS led_to_analysis
-        FROM visitors v WHERE v.path = '/view'""")
+        FROM visitors v WHERE {VIEW_SQL}""")
     c.add("t08_sessions", lambda b: iso(vs.sessions(b.visitors), "started_at", "ended_at"), SESSIONS_SQL)

@@ -14,9 +14,13 @@ CORRUPT = "_corrupt_record"
 
 
 def read_corpus_csv(
-    spark: SparkSession, path: str, schema: T.StructType = schemas.CORPUS, mode: str = "PERMISSIVE"
+    spark: SparkSession, path: str, schema: T.StructType = schemas.CORPUS, mode: str = "FAILFAST"
 ) -> DataFrame:
-    """Labelled corpus from CSV: header, quoted multi-line texts, doubled quotes, strings as declared."""
+    """Labelled corpus from CSV: header, quoted multi-line texts, doubled quotes, strings as declared.
+
+    A malformed row is an error; read again with ``read_corpus_tolerant`` to leave such rows out.  Multi-line CSV cannot be
+    split, so one file is one task: store a large corpus as Parquet once.
+    """
     return (
         spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"')
         .option("escape", '"').option("mode", mode).csv(path)
@@ -71,9 +75,12 @@ def read_split_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jdbc(
     spark: SparkSession, url: str, table: str, properties: dict[str, str],
-    column: str = "id", lower: int = 0, upper: int = 1_000_000, partitions: int = 64,
+    column: str, lower: int, upper: int, partitions: int = 64,
 ) -> DataFrame:
-    """A database table read in parallel ranges of ``column``; filters are pushed to the database."""
+    """A database table read in parallel ranges of ``column``; filters are pushed to the database.
+
+    ``lower`` and ``upper`` are the smallest and largest value; rows outside would all fall to the first or last range.
+    """
     options = {
         "url": normalize_url(url), "dbtable": table, "partitionColumn": column, "lowerBound": str(lower),
         "upperBound": str(upper), "numPartitions": str(partitions), "fetchsize": "10000", **properties}

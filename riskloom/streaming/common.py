@@ -46,33 +46,31 @@ def _triggered(writer, every: str | None):
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
-KEEP_VERSIONS = 20
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def publisher(path: str, keys: tuple[str, ...] = (), keep: int = KEEP_VERSIONS) -> Callable[[DataFrame, int], None]:
+def publisher(path: str, keys: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
     """Batch handler that publishes a whole table per batch, as ``version=<batch id>``.
 
     With ``keys`` a batch holds changed rows only (update mode): they replace
-    those of the version before.  A batch that is run again overwrites its own
-    version, readers always see a whole one, and versions older than ``keep``
-    batches are removed.
+    those of the version before, which must be there: a gap is an error, not a
+    smaller table.  A batch that is run again overwrites its own version, and
+    readers always see a whole one.  Old versions are left to the folder's own
+    retention, as a reader may still hold them.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark, out = batch.sparkSession, batch
         before = f"{path}/version={batch_id - 1}"
-        if keys and exists(spark, before):
+        if keys and batch_id > 0:
+            if not exists(spark, f"{before}/_SUCCESS"):
+                raise RuntimeError(f"{before} is missing, so the rows before batch {batch_id} are unknown")
             changed = batch.persist()
             kept = spark.read.schema(batch.schema).parquet(before).join(changed.select(*keys), list(keys), "left_anti")
             out = kept.select(*batch.columns).unionByName(changed)
         out.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
         batch.unpersist()
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - keep}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return handle
 
 

@@ -160,3 +160,18 @@ def test_iso_timestamp(spark):
     ts = lambda s: F.lit(s).cast("timestamp_ntz")
     assert value(spark, text.iso_timestamp(ts("2024-01-02 03:04:05"))) == "2024-01-02T03:04:05"
     assert value(spark, text.iso_timestamp(ts("2024-01-02 03:04:05.25"))) == "2024-01-02T03:04:05.250000"
+
+
+def test_mail_redaction_is_linear_and_equals_the_plain_pattern(spark):
+    import re
+    import time
+
+    from riskloom.functions import redaction as rd
+
+    texts = ["a@b.cc@d.ee", "x.a@b.cc,b@c.dd", "a@b.ccd@e.ff", "a+b%c@h-i.jk.", "@a.bb", "a@@b.cc", "a@b.c1.dd@x.yy", "é@b.cc"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: (r["redacted"], r["email_count"]) for r in rd.redact(df).collect()}
+    assert got == {t: re.subn(rd.EMAIL_PATTERN, rd.EMAIL_MARK, t) for t in texts}
+    start = time.time()
+    assert rd.redact(spark.createDataFrame([("a" * 1_000_000 + " @",)], "text string")).head()["email_count"] == 0
+    assert time.time() - start < 5

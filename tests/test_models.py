@@ -86,6 +86,18 @@ def test_foreign_scorer_runs_once_per_task_and_falls_back(spark):
     assert got[2] == ("keyword_fallback", "LOW")
 
 
+def test_one_bad_text_costs_only_its_own_score(spark):
+    def make():
+        def scorer(texts):
+            if any(t == "bad" for t in texts):
+                raise ValueError("cannot score")
+            return pd.Series([0.25] * len(texts))
+        return scorer
+
+    df = spark.createDataFrame([(i, "bad" if i == 3 else "fine") for i in range(8)], "id long, text string").coalesce(1)
+    assert {r["id"]: r["prob"] for r in models.external_scores(df, make, "id").collect()} == {i: None if i == 3 else 0.25 for i in range(8)}
+
+
 def test_retraining_cycle(spark, corpus):
     original = corpus.select("doc_id", "text", F.when(F.col("label") == 1, "suicide").otherwise("non-suicide").alias("class"))
     rows = [(i, f"{BAD[i % 4]} extra{i}", "LOW", "HIGH", False) for i in range(20)] + [(99, "fine", "LOW", "LOW", True)]

@@ -142,3 +142,12 @@ def test_days_past_the_retention_leave_the_state(spark, tmp_path):
             kept.append(progress["stateOperators"][0]["numRowsTotal"])
     assert removed >= 1 and kept[-1] <= 2
     assert common.latest(spark, str(tmp_path / "t")).count() == 3
+
+
+def test_a_gap_between_versions_is_an_error(spark, tmp_path):
+    handle = common.publisher(str(tmp_path / "t"), ("k",))
+    handle(spark.createDataFrame([(1, 1), (2, 1)], "k long, v long"), 0)
+    handle(spark.createDataFrame([(2, 5)], "k long, v long"), 1)
+    assert sorted(map(tuple, common.latest(spark, str(tmp_path / "t")).collect())) == [(1, 1), (2, 5)]
+    with pytest.raises(RuntimeError, match="missing"):
+        handle(spark.createDataFrame([(3, 1)], "k long, v long"), 5)
