@@ -78,6 +78,22 @@ _KEY = "('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '')), 1, 13))::BIG
 _NOTICES = ", ".join("('{}', '{}')".format(name, " ".join(re.sub(r"[^A-Za-z0-9]+", " ", t).lower().split())) for name, t in licence_scan.TEMPLATES)
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS p FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reached(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM words UNION SELECT l.y, r.root FROM reached r JOIN links l ON l.x = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.root)::BIGINT AS component_id
+FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
     "op2_source_mix": rf"""
 WITH sized AS (
   SELECT doc_id, source, length(coalesce(text, '')) AS chars,

@@ -26,7 +26,7 @@ NOT_TEXT = r"[^\p{L}\p{N}\n]+"
 TEMPLATES = (
     ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance"),
     ("bsd-3-clause", "Licensed under the BSD 3-Clause License"),
     ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by-4.0", "Licensed under CC BY 4.0"),
