@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import evaluation
+from riskloom import schemas
+from riskloom.functions import text
+from riskloom.operators import corpus, evaluation, models
 from riskloom.operators import feedback as fb
 from riskloom.plans.catalog import Catalog
 from riskloom.plans.catalog_evaluation import split_sql, _split_predictions
 from riskloom.plans.catalog_feedback import ISO, READY_SQL, TOTALS_SQL
-from riskloom.plans.oracle_views import ratio
+from riskloom.plans.oracle_views import ratio, word_count
 from riskloom.operators import splits
 from riskloom.plans.testbed import Testbed
-from riskloom.session import materialize
-from riskloom.sources import exports
+from riskloom.session import materialize, scratch_path
+from riskloom.sources import exports, readers, tables
 
 _CLASS_SQL = "CASE WHEN teacher_correction IN ('HIGH', 'MEDIUM') THEN 'suicide' ELSE 'non-suicide' END"
 
@@ -32,8 +34,70 @@ def _jsonl(bed: Testbed) -> DataFrame:
         F.col("metadata.teacher_notes").alias("teacher_notes"), F.col("metadata.created_at").alias("created_at"))
 
 
-def _listing(bed: Testbed) -> DataFrame:
-    return exports.list_files(bed.spark, bed.sf_dir, "*.parquet").select("filename", "size_bytes")
+def _corpus_csv(bed: Testbed) -> str:
+    """The corpus as CSV below the shared folder, found among several places as a reader would."""
+    path = scratch_path(bed.spark, "corpus-csv")
+    exports.write_csv(bed.corpus.select("text", "class"), path)
+    return readers.first_existing(bed.spark, [f"{path}-elsewhere", path])
+
+
+def _batch(bed: Testbed) -> tuple[str, str]:
+    """A correction batch below the shared folder: where, and its name."""
+    root = scratch_path(bed.spark, "corrections")
+    wrong = bed.feedback.where(~F.col("is_correct")).count()
+    return root, exports.export_corrections(bed.feedback, root, wrong, "20240101_000000").rsplit("/", 1)[1]
+
+
+def _listed(bed: Testbed) -> DataFrame:
+    root, name = _batch(bed)
+    rows = exports.read_export(bed.spark, root, name).agg(F.count("*").alias("n_rows")).withColumn("filename", F.lit(name))
+    return exports.list_exports(bed.spark, root).select("filename").join(rows, "filename")
+
+
+def _fetched(bed: Testbed) -> DataFrame:
+    return exports.read_export(bed.spark, *_batch(bed))
+
+
+def _appended(bed: Testbed) -> DataFrame:
+    """Rows stored in two appends, read back with the declared schema."""
+    path = scratch_path(bed.spark, "feedback-rows")
+    for correct in (True, False):
+        tables.append(bed.feedback.where(F.col("is_correct") == correct), path, schemas.FEEDBACK)
+    return tables.read(bed.spark, path, schemas.FEEDBACK).select("id", "text", "status", "is_correct")
+
+
+def _cached_features(bed: Testbed) -> DataFrame:
+    """The second call finds what the first has stored."""
+    path = scratch_path(bed.spark, "feature-cache")
+    for _ in range(2):
+        found = tables.feature_cache(
+            bed.corpus, lambda df: df.select("doc_id", text.word_count(F.col("text")).cast("long").alias("n_words")), path, "words", "doc_id", "text")
+    return found
+
+
+def _cleaned(bed: Testbed) -> DataFrame:
+    return materialize(corpus.relabel(bed.corpus).select("text", "class"), "cleaned")
+
+
+def _summary(bed: Testbed) -> DataFrame:
+    path = scratch_path(bed.spark, "training-summary")
+    table = evaluation.evaluate(bed.model_predictions, ["model"]).select("model", F.round("accuracy", 6).alias("accuracy"), F.round("fnr", 6).alias("fnr"))
+    for seed in ("42", "123"):
+        tables.append_metrics(table, path, {"seed": seed})
+    return bed.spark.read.parquet(path)
+
+
+def _foreign_scorer():
+    """Stands for a model that is not Spark's, and that some texts break."""
+    def score(texts):
+        if texts.str.contains("scum", regex=False).any():
+            raise ValueError("text refused")
+        return texts.str.len() / (texts.str.len() + 100.0)
+    return score
+
+
+def _foreign(bed: Testbed) -> DataFrame:
+    return models.external_scores(bed.documents, _foreign_scorer, "doc_id").withColumn("prob", F.round("prob", 9))
 
 
 def _results(bed: Testbed) -> DataFrame:
@@ -59,7 +123,20 @@ def register(c: Catalog) -> None:
                {ISO.format('feedback.created_at')} AS created_at FROM feedback""")
     c.add("s10_correction_classes", lambda b: exports.class_counts(exports.correction_rows(b.feedback)),
           f"SELECT {_CLASS_SQL} AS class, count(*) AS n_rows FROM feedback WHERE NOT is_correct GROUP BY 1")
-    c.add("s11_list_files", _listing)
+    c.add("s01_csv_scan", lambda b: readers.read_corpus_csv(b.spark, _corpus_csv(b)), "SELECT text, class FROM corpus")
+    c.add("s02_csv_tolerant", lambda b: readers.read_corpus_tolerant(b.spark, _corpus_csv(b)), "SELECT text, class FROM corpus")
+    c.add("s11_list_exports", _listed, """
+        SELECT 'corrections_' || count(*) || 'samples_20240101_000000.csv' AS filename, count(*) AS n_rows
+        FROM feedback WHERE NOT is_correct""")
+    c.add("s12_fetch_export", _fetched, f"SELECT text, {_CLASS_SQL} AS class FROM feedback WHERE NOT is_correct")
+    c.add("s13_append_rows", _appended, "SELECT id, text, status, is_correct FROM feedback")
+    c.add("s17_feature_cache", _cached_features, f"SELECT doc_id, CAST({word_count('text')} AS BIGINT) AS n_words FROM corpus")
+    c.add("s18_cleaned_corpus", _cleaned, "SELECT text, CASE WHEN class = 'suicide' THEN 1 ELSE 0 END AS class FROM corpus")
+    c.add("s20_training_summary", _summary, """
+        SELECT seed, model, round(accuracy, 6) AS accuracy, round(fnr, 6) AS fnr FROM metrics, (VALUES ('42'), ('123')) s(seed)""")
+    c.add("m09_foreign_scores", _foreign, """
+        SELECT doc_id, CASE WHEN contains(text, 'scum') THEN NULL ELSE round(length(text) / (length(text) + 100.0e0), 9) END AS prob
+        FROM documents""")
     test = lambda split, m: f"max(CASE WHEN split = '{split}' THEN {m} END)"
     c.add("s14_results_document", _results, f"""
         SELECT 'lexicon' AS model_type, model AS model_name, CAST(42 AS BIGINT) AS seed,
