@@ -13,11 +13,17 @@ USER_AGENT_LIMIT = 500
 
 # Rules are tried in order; the first that matches names the family.
 BROWSER_RULES = (
-    ("Edge", r"Edg(e|A|iOS)?/"),
+    ("Edge Mobile", r"Edg(A|iOS)/|Edge/.*Mobile|Mobile.*Edge/"),
+    ("Edge", r"Edge?/"),
     ("Opera", r"OPR/|Opera"),
     ("Samsung Internet", r"SamsungBrowser/"),
-    ("Firefox", r"Firefox/|FxiOS/"),
-    ("Chrome", r"Chrome/|CriOS/"),
+    ("Firefox iOS", r"FxiOS/"),
+    ("Firefox Mobile", r"(Android|Mobile).*Firefox/"),
+    ("Firefox", r"Firefox/"),
+    ("Chrome Mobile iOS", r"CriOS/"),
+    ("Chrome Mobile", r"Android.*Chrome/[0-9.]+ Mobile"),
+    ("Chrome", r"Chrome/"),
+    ("Mobile Safari", r"(iPhone|iPad|iPod).*Version/.*Safari/"),
     ("Safari", r"Version/.*Safari/"),
     ("IE", r"MSIE |Trident/"),
     ("curl", r"^curl/"),

@@ -27,8 +27,8 @@ DIMENSIONS_SQL = """
 
 CLIENT_IP_SQL = "CASE WHEN forwarded LIKE '%,%' THEN trim(split_part(forwarded, ',', 1)) ELSE coalesce(forwarded, peer) END"
 
-# what the rule tables make of the fixture's agents, by k % 5
-BROWSER_SQL = "CASE k5 WHEN 1 THEN 'Chrome' WHEN 2 THEN 'Safari' WHEN 3 THEN 'Firefox' WHEN 4 THEN 'Edge' ELSE 'Other' END"
+# what the fixture's agents are, by k % 5: desktop Chrome, an iPhone's own browser, Firefox, Edge on a telephone
+BROWSER_SQL = "CASE k5 WHEN 1 THEN 'Chrome' WHEN 2 THEN 'Mobile Safari' WHEN 3 THEN 'Firefox' WHEN 4 THEN 'Edge' ELSE 'Other' END"
 DEVICE_SQL = "CASE k5 WHEN 2 THEN 'iPhone' WHEN 4 THEN 'Generic Smartphone' ELSE 'Other' END"
 SYSTEM_SQL = "CASE k5 WHEN 1 THEN 'Windows' WHEN 2 THEN 'iOS' WHEN 3 THEN 'Linux' WHEN 4 THEN 'Android' ELSE 'Other' END"
 AGENT_NO_SQL = "CASE user_agent " + " ".join(f"WHEN '{a}' THEN {i + 1}" for i, a in enumerate(AGENTS)) + " ELSE 0 END"

@@ -175,3 +175,21 @@ def test_mail_redaction_is_linear_and_equals_the_plain_pattern(spark):
     start = time.time()
     assert rd.redact(spark.createDataFrame([("a" * 1_000_000 + " @",)], "text string")).head()["email_count"] == 0
     assert time.time() - start < 5
+
+
+def test_mobile_browser_families(spark):
+    from riskloom.functions import web
+
+    agents = {
+        "Mozilla/5.0 (Linux; Android 14; Pixel 8) AppleWebKit/537.36 Chrome/120.0.0.0 Mobile Safari/537.36": "Chrome Mobile",
+        "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 Version/17.0 Mobile/15E148 Safari/604.1": "Mobile Safari",
+        "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 CriOS/120.0 Mobile/15E148 Safari/604.1": "Chrome Mobile iOS",
+        "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 FxiOS/120.0 Mobile/15E148 Safari/605.1.15": "Firefox iOS",
+        "Mozilla/5.0 (Android 14; Mobile; rv:121.0) Gecko/121.0 Firefox/121.0": "Firefox Mobile",
+        "Mozilla/5.0 (Linux; Android 10) AppleWebKit/537.36 Chrome/120.0.0.0 Mobile Safari/537.36 EdgA/120.0": "Edge Mobile",
+        "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 Chrome/120.0.0.0 Safari/537.36 Edg/120.0": "Edge",
+        "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15) AppleWebKit/605.1.15 Version/17.0 Safari/605.1.15": "Safari",
+    }
+    df = spark.createDataFrame([(a,) for a in agents], "agent string")
+    got = {r["agent"]: r["f"] for r in df.select("agent", web.family(F.col("agent"), web.BROWSER_RULES).alias("f")).collect()}
+    assert got == agents
