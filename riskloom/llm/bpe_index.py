@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are cut into batches of about this many characters; their distinct words are encoded together.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 6_000_000
 #: Fixed value: the splitting pattern of the vocabulary files that are supported.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = regex.compile(r"\s+")
@@ -201,15 +202,15 @@ class Vocabulary:
             symbols[at:at + 2] = [int(self.made[ranks[at]])]
         return symbols
 
-    def table(self, chunks: list[str]) -> dict[str, tuple[bytes, str, int]]:
-        """chunk -> its ids as little-endian unsigned 32-bit integers, their decoded text, and how many they are."""
+    def table(self, chunks: list[str], decode: bool = True) -> dict[str, tuple[bytes, str, int]]:
+        """chunk -> its ids as little-endian unsigned 32-bit integers, their decoded text if asked for, and their number."""
         parts = [self.words(c) for c in chunks]
         distinct = list({w for words in parts for w in words if w[0] != " "})
         ids, bounds = self.encode_words(distinct)
-        raw, names, cut = ids.tobytes(), list(map(self.tokens.__getitem__, ids.tolist())), bounds.tolist()
+        raw, names, cut = ids.tobytes(), list(map(self.tokens.__getitem__, ids.tolist())) if decode else [], bounds.tolist()
         known = {w: (raw[4 * a:4 * b], " ".join(names[a:b]), b - a) for w, a, b in zip(distinct, cut, cut[1:], strict=False)}
         known |= {" " + name: (np.array([i], "<u4").tobytes(), name, 1) for name, i in self.special.items()}
-        return {chunk: known[words[0]] if len(words) == 1 else _joined([known[w] for w in words]) for chunk, words in zip(chunks, parts, strict=True)}
+        return {chunk: known[words[0]] if len(words) == 1 else _joined([known[w] for w in words], decode) for chunk, words in zip(chunks, parts, strict=True)}
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces, as a vocabulary without decoder is decoded."""
@@ -225,12 +226,22 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def _joined(found: list[tuple[bytes, str, int]]) -> tuple[bytes, str, int]:
+def slices(column: pa.Array, limit: int) -> Iterator[list[str]]:
+    """The texts of a column in order, in lists of about ``limit`` bytes; null counts as empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield [t or "" for t in column.slice(at, to - at).to_pylist()]
+        at = to
+
+
+def _joined(found: list[tuple[bytes, str, int]], decode: bool) -> tuple[bytes, str, int]:
     raw = b"".join([f[0] for f in found])
-    return raw, " ".join([f[1] for f in found if f[2]]), len(raw) // 4
+    return raw, " ".join([f[1] for f in found if f[2]]) if decode else "", len(raw) // 4
 
 
-def encoded(texts: list[str], vocab: Vocabulary) -> Iterator[tuple[bytes, str, int]]:
+def encoded(texts: list[str], vocab: Vocabulary, decode: bool = True) -> Iterator[tuple[bytes, str, int]]:
     """(ids as bytes, decoded text, number of ids) of each text; chunks are shared within batches."""
     at = 0
     while at < len(texts):
@@ -241,38 +252,34 @@ def encoded(texts: list[str], vocab: Vocabulary) -> Iterator[tuple[bytes, str, i
             distinct.update(vocab.chunks(texts[to]))
             to += 1
         gc.disable()  # so many small tuples would be searched again and again
-        table = vocab.table(list(distinct))
+        table = vocab.table(list(distinct), decode)
         gc.enable()
         for text in texts[at:to]:
-            yield _joined([table[c] for c in vocab.chunks(text)])
+            yield _joined([table[c] for c in vocab.chunks(text)], decode)
         at = to
 
 
-def _digest_rows(path: str, whole_texts: bool):
+def _digest_rows(path: str, whole: bool, decode: bool):
+    names = ["ids", "decoded"] if whole else ["ids_sha256", "decoded_sha256"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id").cast(pa.int64())
             at, rows = 0, []
 
-            def close(rows: list, at: int) -> pa.RecordBatch:
+            def close() -> pa.RecordBatch:
                 cols = list(zip(*rows, strict=True))
-                return pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), pa.array(cols[0], pa.int64()), *(pa.array(c) for c in cols[1:])],
-                                                  ["doc_id", "n_tokens", *names])
-
-            names = ["ids", "decoded"] if whole_texts else ["ids_sha256", "decoded_sha256"]
-            for raw, decoded, n in encoded(texts, vocab):
-                if whole_texts:
-                    rows.append((n, raw, decoded))
-                else:
-                    rows.append((n, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-                if len(rows) == 256:
-                    yield close(rows, at)
-                    at += len(rows)
-                    rows = []
+                ids = batch.column("doc_id").slice(at, len(rows)).cast(pa.int64())
+                return pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), *(pa.array(c) for c in cols[1:])], ["doc_id", "n_tokens", *names])
+
+            for texts in slices(batch.column("text"), BATCH_CHARS):
+                for raw, decoded, n in encoded(texts, vocab, decode):
+                    rows.append((n, raw, decoded) if whole else (n, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                    if len(rows) == 256:
+                        yield close()
+                        at, rows = at + len(rows), []
             if rows:
-                yield close(rows, at)
+                yield close()
 
     return run
 
@@ -281,11 +288,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers) and ``decoded``; one narrow pass."""
-    return _texts(docs).mapInArrow(_digest_rows(path, True), "doc_id long, n_tokens long, ids binary, decoded string")
+def encode_documents(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers) and ``decoded``, empty unless asked for."""
+    return _texts(docs).mapInArrow(_digest_rows(path, True, decode), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``n_tokens`` and the digests of ids and decoded text, without moving either out of the task."""
-    return _texts(docs).mapInArrow(_digest_rows(path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _texts(docs).mapInArrow(_digest_rows(path, False, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
