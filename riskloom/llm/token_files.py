@@ -6,7 +6,7 @@ dictionary encoding (differences where the dictionary is full), in row groups an
 a reader of some documents, or of ``n_tokens`` alone, touches those pages only.
 
 Encoding is done by the tokenizers library.  Vocabularies that drop white space encode each word by itself, so distinct
-words are encoded once per task and kept in a bounded cache; others are encoded text by text.
+words are encoded once per batch, and frequent ones kept in a bounded cache; others are encoded text by text.
 
 Edge cases: null and empty texts have the end id alone; rows that repeat a ``doc_id`` are written each, next to each
 other; rows without ``doc_id`` come first; other columns are not written.
@@ -14,6 +14,7 @@ other; rows without ``doc_id`` come first; other columns are not written.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.bpe_index import vocabulary
+from riskloom.llm.bpe_index import slices, vocabulary
 from riskloom.session import materialize, scratch_path
 
 END_ID = 1
 #: Texts are encoded in batches of about this many characters.
-BATCH_CHARS = 8_000_000
-#: Words whose ids a worker keeps from one batch to the next.
-CACHED_WORDS = 300_000
+BATCH_CHARS = 10_000_000
+#: Words whose ids a worker keeps from one batch to the next, in each of two generations (about 200 bytes each).
+CACHED_WORDS = 150_000
+#: Words that go to the library as one text.
+WORDS_PER_TEXT = 2000
 FILE_OPTIONS = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -41,7 +44,9 @@ FILE_OPTIONS = {
 }
 
 _library: dict = {}
-_cache: dict[str, bytes] = {}
+_ends: dict[str, np.ndarray] = {}
+_recent: dict[str, bytes] = {}
+_older: dict[str, bytes] = {}
 
 
 def _tokenizer(path: str):
@@ -52,7 +57,8 @@ def _tokenizer(path: str):
         _library[path] = Tokenizer.from_file(path)
         _library[path].no_truncation()
         _library[path].no_padding()
-        _cache.clear()
+        _recent.clear()
+        _older.clear()
     return _library[path]
 
 
@@ -61,9 +67,30 @@ def _by_text(texts: list[str], path: str) -> Iterator[bytes]:
         yield np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def _encode_words(words: list[str], path: str) -> Iterator[bytes]:
+    """Ids of each word.  Many words go to the library as one text, cut again where a token ends a word."""
+    library, ends = _tokenizer(path), _word_ends(path)
+    for start in range(0, len(words), WORDS_PER_TEXT):
+        some = words[start:start + WORDS_PER_TEXT]
+        ids = np.array(library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        cut = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cut) != len(some):
+            raise ValueError("the vocabulary does not end every word")
+        raw = ids.tobytes()
+        yield from map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut))
+
+
+def _word_ends(path: str) -> np.ndarray:
+    if path not in _ends:
+        vocab = vocabulary(path)
+        _ends[path] = np.array([t.endswith(vocab.end) for t in vocab.tokens])
+    return _ends[path]
+
+
 def _by_word(texts: list[str], path: str) -> Iterator[bytes]:
     """Encodes distinct words with the library and puts texts together from them."""
-    library, vocab = _tokenizer(path), vocabulary(path)
+    vocab = vocabulary(path)
+    special = {" " + name: np.array([i], "<u4").tobytes() for name, i in vocab.special.items()}
     at = 0
     while at < len(texts):
         to, held = at, 0
@@ -72,28 +99,46 @@ def _by_word(texts: list[str], path: str) -> Iterator[bytes]:
             held += len(texts[to])
             distinct.update(vocab.chunks(texts[to]))
             to += 1
+        gc.disable()  # so many small objects would be searched again and again
         parts = {c: vocab.words(c) for c in distinct}
-        fresh = list({w for words in parts.values() for w in words} - _cache.keys())
-        if len(_cache) + len(fresh) > CACHED_WORDS:
-            _cache.clear()
-            fresh = list({w for words in parts.values() for w in words})
-        for start in range(0, len(fresh), 20_000):
-            some = fresh[start:start + 20_000]
-            plain = [w[1:] if w[0] == " " else w for w in some]
-            for w, e in zip(some, library.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                _cache[w] = np.array(e.ids, "<u4").tobytes()
-        known = {c: _cache[words[0]] if len(words) == 1 else b"".join([_cache[w] for w in words]) for c, words in parts.items()}
+        table, fresh = dict(special), []
+        for w in {w for words in parts.values() for w in words}:
+            found = _recent.get(w) or _older.get(w)
+            if found is None:
+                if w not in special:
+                    fresh.append(w)
+            else:
+                table[w] = found
+        # a word that the library would change once more is encoded as it stands in the text, with what is around it
+        changing = {w for w in fresh if not w.isascii() and vocab.normalize(w) != w}
+        fresh = [w for w in fresh if w not in changing] if changing else fresh
+        table.update(zip(fresh, _encode_words(fresh, path), strict=True))
+        _remember(table)
+        whole = [c for c, words in parts.items() if not changing.isdisjoint(words)] if changing else []
+        known = dict(zip(whole, _by_text(whole, path), strict=True))
+        known |= {c: table[words[0]] if len(words) == 1 else b"".join([table[w] for w in words]) for c, words in parts.items() if c not in known}
+        del parts, table
+        gc.enable()
         for text in texts[at:to]:
             yield b"".join([known[c] for c in vocab.chunks(text)])
         at = to
 
 
+def _remember(table: dict[str, bytes]) -> None:
+    """Two generations: words of the last batches stay, and of those before them what came again."""
+    if len(_recent) > CACHED_WORDS:
+        _older.clear()
+        _older.update(_recent)
+        _recent.clear()
+    if len(_recent) + len(table) <= 2 * CACHED_WORDS:
+        _recent.update(table)
+
+
 def _encode_rows(path: str, by_word: bool):
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             ids, at = batch.column("doc_id"), 0
             raw: list[bytes] = []
 
@@ -103,12 +148,13 @@ def _encode_rows(path: str, by_word: bool):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
                 return pa.RecordBatch.from_arrays([ids.slice(at, len(raw)), pa.array(counts), lists], ["doc_id", "n_tokens", "ids"])
 
-            for r in (_by_word if by_word else _by_text)(texts, path):
-                raw.append(r + end)
-                if len(raw) == 512:
-                    yield close(at)
-                    at += len(raw)
-                    raw = []
+            for texts in slices(batch.column("text"), BATCH_CHARS):
+                for r in (_by_word if by_word else _by_text)(texts, path):
+                    raw.append(r + end)
+                    if len(raw) == 512:
+                        yield close(at)
+                        at += len(raw)
+                        raw = []
             if raw:
                 yield close(at)
 
