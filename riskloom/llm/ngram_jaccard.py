@@ -15,7 +15,7 @@ Two documents link when ``100 * |A & B| >= 80 * |A | B|`` for their sets of dist
    fewer than n pairs.
 5. *Counts.*  For each candidate pair the overlap is counted per fragment and summed.  Linked pairs are merged into
    components by a star contraction.
-6. *Rest.*  Pairs of one shingle that are still in different components and pass the bitmap test are counted the same
+6. *Rest.*  Pairs of one shingle that are still in different components and pass sharper tests are counted the same
    way, so no link is lost; by the spanning forest they are few.
 
 Edge cases: a null or blank text has an empty set and stands alone; a text of fewer words than the width has one shingle;
@@ -45,6 +45,8 @@ HOT_SHINGLES = 8192
 #: Index rows of one shingle that are compared in one go.
 BLOCK_ROWS = 1024
 BITMAP_WORDS = 32
+#: Sets of up to this size are compared by 32-bit shingles in the last step, larger ones by a bitmap alone.
+SMALL_SET = 2048
 
 
 def _linked_least(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -188,7 +190,8 @@ def _shared_rows(hot: np.ndarray, hot_rank: np.ndarray):
 
 def _survivor_rows(percent: int):
     """One row for each class that can still link, out of rows sorted by doc_id and rank (-1: the set's size)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bitmap", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bitmap", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())),
+                        ("coarse", pa.list_(pa.int64())), ("short", pa.list_(pa.int32())), ("merged", pa.int64())])
 
     def one(doc: int, token: np.ndarray, rank: np.ndarray):
         if rank[0] != -1:
@@ -204,7 +207,10 @@ def _survivor_rows(percent: int):
             return None
         bits = np.zeros(BITMAP_WORDS * 64, np.uint8)
         bits[mix(token.view(np.uint64)) % np.uint64(len(bits))] = 1
-        return doc, n, np.packbits(bits).view(np.int64), token[:n - need + 1 - own], np.sort(token)
+        bitmap = np.packbits(bits).view(np.int64)
+        short = np.unique(token.astype(np.int32)) if n <= SMALL_SET else None
+        return (doc, n, bitmap, token[:n - need + 1 - own], np.sort(token), np.bitwise_or.reduce(bitmap.reshape(-1, BITMAP_WORDS // 2)), short,
+                0 if short is None else len(token) - len(short))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -296,14 +302,14 @@ def _forest_rows(percent: int):
 def _linked(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) that link: overlaps are counted per quarter of the order and summed."""
     def cut(k: int):
-        return F.struct(F.lit(k).alias("fragment"), F.filter("tokens", lambda t: F.shiftrightunsigned(t, 62) == k).alias("piece"))
-
-    pieces = survivors.select("doc_id", "n", F.explode(F.array(*map(cut, range(4)))).alias("p")).select("doc_id", "n", "p.*")
-    left = pieces.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "fragment", F.col("piece").alias("pa"))
-    right = pieces.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "fragment", F.col("piece").alias("pb"))
-    partial = (pairs.join(left, "a").join(right, ["b", "fragment"])
-               .select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("common")))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+        return F.filter("tokens", lambda t: F.shiftrightunsigned(t, 62) == k)
+
+    pieces = survivors.select("doc_id", "n", F.array(*map(cut, range(4))).alias("pieces"))
+    left = pieces.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pieces").alias("pa"))
+    right = pieces.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pieces").alias("pb"))
+    partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
+    total = (pairs.join(left, "a").join(right, "b")
+             .select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0).cast("long"), lambda s, c: s + c).alias("common")))
     return total.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
@@ -359,31 +365,36 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) ->
     sizes = classes.select(F.col("rep").alias("doc_id"), F.col("n").alias("token"), F.lit(-1).cast("long").alias("rank"))
     survivors = materialize(
         shared.unionByName(sizes).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "rank", "token")
-        .mapInArrow(_survivor_rows(percent), "doc_id long, n long, bitmap array<long>, prefix array<long>, tokens array<long>"),
+        .mapInArrow(_survivor_rows(percent), "doc_id long, n long, bitmap array<long>, prefix array<long>, tokens array<long>, coarse array<long>, short array<int>, merged long"),
         "survivors")
 
-    index = survivors.select("doc_id", "n", "bitmap", F.explode("prefix").alias("token"))
+    index = survivors.select("doc_id", F.explode("prefix").alias("token"))
     many = index.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
-    slices = F.ceil(F.col("rows") / (BLOCK_ROWS // 2)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")
-    laid = (index.join(many, "token").withColumn("slices", F.when(F.col("rows") <= BLOCK_ROWS, 1).otherwise(slices))
-            .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-            .select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "doc_id", "n", "bitmap"))
+    index = materialize(index.join(many, "token"), "index")  # slim rows; bitmaps join them only where they are compared
+    slices = F.when(F.col("rows") <= BLOCK_ROWS, 1).otherwise(F.ceil(F.col("rows") / (BLOCK_ROWS // 2)).cast("int"))
+    laid = (index.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+            .select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "doc_id")
+            .join(survivors.select("doc_id", "n", "bitmap"), "doc_id")
+            .select("token", "low", "high", "doc_id", "n", "bitmap"))
     forest = materialize(
         laid.repartition(width_of, "token", "low", "high").sortWithinPartitions("token", "low", "high")
         .mapInArrow(_forest_rows(percent), "a long, b long").distinct(), "forest")
     links = _linked(forest, survivors, percent)
     first = materialize(components(links, "stars"), "components")
 
-    held = index.join(first, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("node")
+    held = index.join(first, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    held = held.join(mixed, "token", "left_semi")
-    x, y = held.select(*[F.col(c).alias(f"x_{c}") for c in held.columns]), held.select(*[F.col(c).alias(f"y_{c}") for c in held.columns])
-    apart = _bits_apart(F.col("x_bitmap"), F.col("y_bitmap"))
+    held = held.join(mixed, "token", "left_semi").join(survivors.select("doc_id", "n", "coarse", "prefix", "short", "merged"), "doc_id")
+    x, y = (held.select(*[F.col(c).alias(f"{side}_{c}") for c in held.columns]) for side in "xy")
+    both = F.col("x_n") + F.col("y_n")
+    common = F.size(F.array_intersect("x_short", "y_short")) + F.col("x_merged") + F.col("y_merged")  # never less than it is
     possible = ((F.col("x_token") == F.col("y_token")) & (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_root") != F.col("y_root"))
                 & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
-                & (apart * (100 + percent) <= (100 - percent) * (F.col("x_n") + F.col("y_n"))))
-    rest = materialize(x.join(y, possible).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+                & (_bits_apart(F.col("x_coarse"), F.col("y_coarse")) * (100 + percent) <= (100 - percent) * both)
+                & (F.col("x_short").isNull() | F.col("y_short").isNull() | (common * (100 + percent) >= percent * both))
+                & (F.array_min(F.array_intersect("x_prefix", "y_prefix")) == F.col("x_token")))  # each pair once
+    rest = materialize(x.join(y, possible).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
                        .join(forest, ["a", "b"], "left_anti"), "rest")
     late = materialize(_linked(rest, survivors, percent), "late")
     if late.limit(1).count():
@@ -413,4 +424,4 @@ def one_of_each_group(docs: DataFrame, broadcast_ids: int = 1_000_000, **setting
 
 def _bits_apart(x, y):
     """Bits in which two bitmaps differ."""
-    return sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, BITMAP_WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, BITMAP_WORDS // 2)), F.bit_count(x[0].bitwiseXOR(y[0])))
