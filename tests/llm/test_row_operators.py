@@ -159,3 +159,50 @@ def test_template_bigrams_are_distinct():
     for _, notice in licence_scan.TEMPLATES:
         words = re.sub(r"[^\w]+", " ", notice.lower()).split()
         assert len(licence_scan.bigrams(notice)) == len(words) - 1
+
+
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions:"""
+GPL_3_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
+
+def in_a_file(name):
+    """A whole licence between other lines, each line as a comment."""
+    lines = ["Copyright (c) 2020 Some Body and others", "", *next(t for n, t in licence_scan.BODIES if n == name and len(t) > 800).splitlines(), "", "import os of the first kind"]
+    return "\n".join(f" * {line}" for line in lines)
+
+
+WHOLE = [
+    *((in_a_file(n), n, 0.95) for n in ("mit", "mit-0", "bsd-2-clause", "bsd-3-clause", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "apache-2.0", "cc0-1.0", "unlicense", "zlib", "mpl-2.0")),
+    (MIT_GRANT, "mit", 0.95), (MIT_GRANT.splitlines()[0], "mit", 0.8), ("a\nThe MIT License (MIT)\nb", "mit", 1.0), (GPL_3_HEADER, "gpl-3.0", 0.95),
+    (GPL_3_HEADER.replace("version 3", "version 2"), "gpl-2.0", 0.95), (APACHE_HEADER, "apache-2.0", 0.95), (" ".join(APACHE_HEADER.split()), "apache-2.0", 0.95),
+    ("some words come first and this tool is released under the MIT License, as most of its parts are, and then it goes on", "mit", 0.8),
+    ("words before. " * 9 + "It is licensed under the Apache License, Version 2.0, and more words " + "follow it here " * 9, "apache-2.0", 0.9),
+    (f"x {MIT_GRANT[:150]} {'other words here ' * 9} {MIT_GRANT} y", "mit", 0.95), ("\n\n".join(f"part {k} by {k * 'b'} {MIT_GRANT}" for k in range(1, 20)), "mit", 0.95),
+    ("This work is licensed under the GNU General Public License, version 2.", "gpl-2.0", 1.0),
+    ("I read the license of the software, version 2, and all the rights in it are provided without a copy of the source", None, 0.0),
+]
+
+
+def test_whole_licences_and_runs(spark):
+    found = licence_scan.scan(h.frame(spark, [(k, text, "s") for k, (text, *_) in enumerate(WHOLE)])).collect()
+    assert len(found) == len(WHOLE)
+    wrong = [(row, WHOLE[row.doc_id]) for row in found if row.license != WHOLE[row.doc_id][1] or row.dice < WHOLE[row.doc_id][2]]
+    assert not wrong, wrong
+
+
+def test_matches_have_an_anchor():
+    """Without the bigrams that hold an anchor, no short template keeps as many as the threshold needs."""
+    grams = [licence_scan.bigrams(t) for _, t in licence_scan.TEMPLATES + licence_scan.NOTICES + licence_scan.TITLES + licence_scan.BODIES]
+    short = [g for g in grams if len(g) <= licence_scan.SHORT]
+    anchors = set(licence_scan._anchors(short, 0.8))
+    assert all(3 * sum(not anchors & set(b.split()) for b in g) < 2 * len(g) for g in short)
