@@ -13,8 +13,10 @@ Two documents link when ``100 * |A & B| >= 80 * |A | B|`` for their sets of dist
 4. *Candidates.*  Index rows of one shingle meet in blocks of bounded size.  A block keeps the pairs that a bitmap of
    both sets cannot rule out, and hands on only a minimum spanning forest of them: a group of n near copies makes
    fewer than n pairs.
-5. *Counts.*  For each candidate pair the overlap is counted per fragment and summed.  Linked pairs are merged into
-   components by a star contraction.
+5. *Counts.*  For each candidate pair both whole sets of shared shingles are joined into one row, and the sizes of four
+   intersections, one per quarter of the order, are added there.  This equals one intersection of the whole sets: it is
+   not a count per fragment with a grouped sum, which it was before.  Long sets are carried whole once per candidate
+   pair.  Linked pairs are merged into components by a star contraction.
 6. *Rest.*  Pairs of one shingle that are still in different components and pass sharper tests are counted the same
    way, so no link is lost; by the spanning forest they are few.
 
