@@ -12,7 +12,8 @@ Two documents link when ``100 * |A & B| >= 80 * |A | B|`` for their sets of dist
    rarest shared shingles, as many as a linked pair cannot all miss, become index rows.
 4. *Candidates.*  Index rows of one shingle meet in blocks of bounded size.  A block keeps the pairs that a bitmap of
    both sets cannot rule out, and hands on only a minimum spanning forest of them: a group of n near copies makes
-   fewer than n pairs.
+   fewer than n pairs per block.  Up to 1,024 classes of a shingle are one block; beyond that each index row is laid in
+   ceil(n / 512) slices and every block has its own forest, so laid rows and pairs grow with the square of n too.
 5. *Counts.*  For each candidate pair both whole sets of shared shingles are joined into one row, and the sizes of four
    intersections, one per quarter of the order, are added there.  This equals one intersection of the whole sets: it is
    not a count per fragment with a grouped sum, which it was before.  Long sets are carried whole once per candidate
