@@ -109,6 +109,6 @@ def test_ingest(spark):
     df = spark.createDataFrame(rows, "id long, forwarded string, peer string, user_agent string, path string, method string")
     got = {r["id"]: r for r in vs.ingest(df.withColumn("timestamp", F.current_timestamp())).collect()}
     assert set(got) == {1, 2}
-    assert (got[1]["ip_address"], got[1]["browser"], got[1]["device_type"], got[1]["os"]) == ("1.1.1.1", "Safari", "iPhone", "iOS")
+    assert (got[1]["ip_address"], got[1]["browser"], got[1]["device_type"], got[1]["os"]) == ("1.1.1.1", "Mobile Safari", "iPhone", "iOS")
     assert len(got[1]["user_agent"]) == 500
     assert (got[2]["browser"], got[2]["user_agent"]) == ("Other", "")
