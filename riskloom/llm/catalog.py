@@ -9,7 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import block_labeller, bpe_index, licence_scan, ngram_jaccard, pii_anchors, quality_ledger, source_mix, token_files, toxicity, vector_graph
+from riskloom.llm import (
+    block_labeller,
+    bpe_index,
+    licence_scan,
+    ngram_jaccard,
+    pii_anchors,
+    quality_ledger,
+    source_mix,
+    token_files,
+    toxicity,
+    vector_graph,
+    whitening,
+)
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -60,6 +72,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality_ledger.verdict("base")).alias("base_failed"), quality_ledger.verdict("v1").alias("kept"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": _op1,
     "op2_source_mix": _op2,
@@ -71,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": _op8,
     "op9_licence_scan": _op9,
     "op10_quality_ledger": _op10,
+    "op11_whitening": _op11,
 }
 
 _KEY = "('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '')), 1, 13))::BIGINT"
