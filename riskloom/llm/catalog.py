@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import (
     block_labeller,
     bpe_index,
+    conversation_repair,
     licence_scan,
     ngram_jaccard,
     pii_anchors,
@@ -76,6 +77,10 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": _op1,
     "op2_source_mix": _op2,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": _op9,
     "op10_quality_ledger": _op10,
     "op11_whitening": _op11,
+    "op13_conversation_repair": _op13,
 }
 
 _KEY = "('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '')), 1, 13))::BIGINT"
