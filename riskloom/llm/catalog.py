@@ -18,6 +18,7 @@ from riskloom.llm import (
     pii_anchors,
     quality_ledger,
     source_mix,
+    suffix_dedup,
     token_files,
     toxicity,
     vector_graph,
@@ -77,6 +78,10 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_documents(spark, sf_dir))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": _op9,
     "op10_quality_ledger": _op10,
     "op11_whitening": _op11,
+    "op12_suffix_dedup": _op12,
     "op13_conversation_repair": _op13,
 }
 
