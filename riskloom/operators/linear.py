@@ -1,9 +1,10 @@
 """A relational linear text scorer: smoothed log-odds weight per term.
 
 The score of a text is the intercept plus the weights of its distinct terms, its
-probability the sigmoid of that.  The intercept is the weight of the empty term,
-which every text has once.  Weights are kept in whole millionths so that
-sums do not depend on the order in which Spark adds them.
+probability the sigmoid of that.  The intercept is stored as the weight of the
+empty term and added once to each sum, so no key of the join with the weights
+stands for every text.  Weights are kept in whole millionths so that sums do
+not depend on the order in which Spark adds them.
 """
 
 from __future__ import annotations
@@ -18,9 +19,14 @@ MICRO = 1_000_000.0
 
 
 def term_rows(df: DataFrame, key: str, column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct lower-case white-space terms per row, and the empty term once; a null text has the empty term alone."""
-    terms = F.array_union(F.array(F.lit("")), F.coalesce(tx.words(F.lower(column)), F.array().cast("array<string>")))
-    return df.select(key, *carry, F.explode(terms).alias("term"))
+    """Distinct lower-case white-space terms per row.
+
+    A text without terms has one that no vocabulary holds: a space and the row's
+    own key, so that such texts keep a row and share no join key.
+    """
+    terms = F.array_distinct(F.coalesce(tx.words(F.lower(column)), F.array().cast("array<string>")))
+    own = F.array(F.concat(F.lit(" "), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    return df.select(key, *carry, F.explode(F.when(F.size(terms) > 0, terms).otherwise(own)).alias("term"))
 
 
 def fit_weights(labelled: DataFrame, key: str, label: str = "label", column: str = "text") -> DataFrame:
@@ -32,9 +38,11 @@ def fit_weights(labelled: DataFrame, key: str, label: str = "label", column: str
     """
     totals = labelled.agg(F.struct(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))).scalar()
-    counts = term_rows(labelled, key, column, (label,)).groupBy("term").agg(
-        F.count_if(F.col(label) == 1).alias("pos_df"), F.count_if(F.col(label) == 0).alias("neg_df"))
     pos, neg = totals["pos"], totals["neg"]
+    counts = term_rows(labelled, key, column, (label,)).where(~F.startswith("term", F.lit(" "))).groupBy("term").agg(
+        F.count_if(F.col(label) == 1).alias("pos_df"), F.count_if(F.col(label) == 0).alias("neg_df"))
+    base = labelled.sparkSession.range(1).select(F.lit("").alias("term"), pos.alias("pos_df"), neg.alias("neg_df"))
+    counts = counts.unionByName(base)
     rate = pos / (pos + neg)
     odds = F.ln((F.col("pos_df") + rate) / (pos + 1)) - F.ln((F.col("neg_df") + (F.lit(1.0) - rate)) / (neg + 1))
     intercept = F.when((pos > 0) & (neg > 0), F.ln(pos / neg)).otherwise(0.0)
@@ -42,16 +50,27 @@ def fit_weights(labelled: DataFrame, key: str, label: str = "label", column: str
     return counts.withColumn("weight_micro", F.round(weight * MICRO).cast("long"))
 
 
-def _with_weight(rows: DataFrame, weights: DataFrame, term: str) -> DataFrame:
-    """One plan for every vocabulary: a left join whose strategy follows the table's measured bytes."""
-    return rows.join(weights.select(F.col("term").alias(term), "weight_micro"), term, "left")
+def with_weight(rows: DataFrame, weights: DataFrame, term: str) -> DataFrame:
+    """One plan for every vocabulary: a left join whose strategy follows the table's measured bytes.
+
+    Beyond a broadcast, frequent terms make large partitions of ``rows``; as the
+    preserved side of a sort-merge join these are split by the engine.
+    """
+    known = weights.where(F.col("term") != "").select(F.col("term").alias(term), "weight_micro")
+    return rows.join(known, term, "left")
+
+
+def intercept_of(weights: DataFrame) -> Column:
+    """The weight of the empty term, as a scalar; 0 where there is none."""
+    return F.coalesce(weights.where(F.col("term") == "").agg(F.max("weight_micro")).scalar(), F.lit(0))
 
 
 def score(df: DataFrame, weights: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``key, z_micro, prob, pred, confidence`` for every row of ``df``; nothing is rounded."""
-    joined = _with_weight(term_rows(df, key, column), weights, "term")
-    summed = joined.groupBy(key).agg(F.sum(F.coalesce("weight_micro", F.lit(0))).alias("z_micro"))
-    return with_probability(summed)
+    joined = with_weight(term_rows(df, key, column), weights, "term")
+    summed = joined.groupBy(key).agg(F.sum(F.coalesce("weight_micro", F.lit(0))).alias("_z"))
+    whole = summed.select(key, (F.col("_z") + intercept_of(weights)).alias("z_micro"))
+    return with_probability(whole)
 
 
 def with_probability(df: DataFrame, z_micro: str = "z_micro") -> DataFrame:
@@ -86,7 +105,7 @@ def word_scores(
             F.col("_z.w").isNotNull()).select(key, "pos", F.col("_z.w").alias("word"), F.col("_z.s").alias("sentence_no"))
     else:
         rows = placed.select(key, F.posexplode(words).alias("pos", "word"))
-    joined = _with_weight(rows, weights.where("term <> ''"), "word")
+    joined = with_weight(rows, weights, "word")
     kept = [c for c in rows.columns if c not in (key, "pos", "word")]
     return joined.select(key, "pos", "word", (F.coalesce("weight_micro", F.lit(0)) / MICRO).alias("score"), *kept)
 

@@ -9,18 +9,11 @@ from riskloom.functions import labels as lb
 from riskloom.functions import lexicon as lx
 from riskloom.functions import redaction as rd
 from riskloom.functions import text as tx
-from riskloom.operators import attribution, linear, scoring
+from riskloom.operators import attribution, explain, linear, scoring
 from riskloom.plans.catalog import Catalog
 from riskloom.plans.testbed import TEST_LEXICON, Testbed
 
-RE_EMAIL = rd.EMAIL_PATTERN
-RE_PHONE = rd.PHONE_PATTERN
-
-REDACTED_SQL = f"""
-    SELECT doc_id, regexp_replace(mailless, '{RE_PHONE}', '[PHONE]', 'g') AS redacted,
-           CAST(len(regexp_extract_all(text, '{RE_EMAIL}')) AS INTEGER) AS email_count,
-           CAST(len(regexp_extract_all(mailless, '{RE_PHONE}')) AS INTEGER) AS phone_count
-    FROM (SELECT doc_id, text, regexp_replace(text, '{RE_EMAIL}', '[EMAIL]', 'g') AS mailless FROM documents)"""
+REDACTED_SQL = "SELECT * FROM redacted_documents"
 
 
 def _quote(value: str) -> str:
@@ -73,6 +66,21 @@ def analyze(bed: Testbed) -> DataFrame:
     return scoring.flatten(scoring.analyze(bed.documents, TEST_LEXICON), "doc_id")
 
 
+def _explained(bed: Testbed) -> DataFrame:
+    """Flat for comparison: words with their score in millionths, important ones marked."""
+    risk = F.col("risk")
+    micro = lambda c: F.round(c * 1_000_000).cast("long").cast("string")
+    words = F.transform(risk["highlighted_words"], lambda w: F.concat(
+        w["text"], F.lit("="), micro(w["normalized_score"]), F.when(w["is_important"], "!").otherwise("")))
+    sentences = F.transform(risk["problematic_sentences"], lambda s: F.concat(s["sentence"], F.lit("="), micro(s["score"])))
+    return explain.analyze_explained(bed.documents, bed.weights).select(
+        "doc_id", F.col("pii_redacted.email").alias("email_count"), F.col("pii_redacted.phone").alias("phone_count"),
+        risk["risk_level"].alias("risk_level"), F.round(risk["score"], 6).alias("score"), risk["prediction"].alias("prediction"),
+        risk["guidance"].alias("guidance"), F.array_join(risk["triggers"], "; ").alias("triggers"),
+        F.array_join(words, " ").alias("highlighted_words"), F.array_join(sentences, " | ").alias("problematic_sentences"),
+        "sanitized_excerpt", "method")
+
+
 def _redact(bed: Testbed) -> DataFrame:
     return rd.redact(bed.documents).select("doc_id", "redacted", "email_count", "phone_count")
 
@@ -217,6 +225,20 @@ def register(c: Catalog) -> None:
     c.add("x08_excerpt", _excerpts,
           f"SELECT doc_id, {EXCERPT_SQL.format('redacted')} AS sanitized_excerpt FROM ({REDACTED_SQL})")
     c.add("x09_analyze", analyze, analysis_sql())
+    c.add("x09_analyze_explained", _explained, f"""
+        SELECT d.doc_id, d.email_count, d.phone_count, m.risk_level, round(m.score, 6) AS score, m.prediction, m.guidance,
+               coalesce(t.triggers, '') AS triggers, h.words AS highlighted_words,
+               CASE WHEN h.words IS NOT NULL THEN coalesce(p.sentences, '') END AS problematic_sentences,
+               {EXCERPT_SQL.format('d.redacted')} AS sanitized_excerpt, 'ml_model' AS method
+        FROM redacted_documents d JOIN ({model_risk_sql('SELECT * FROM clean_scores')}) m ON d.doc_id = m.doc_id
+        LEFT JOIN (SELECT doc_id, string_agg(word || '=' || CAST(CAST(round(normalized_score * 1000000) AS BIGINT) AS VARCHAR)
+                     || CASE WHEN is_important THEN '!' ELSE '' END, ' ' ORDER BY pos) AS words
+                   FROM clean_marked GROUP BY doc_id) h ON d.doc_id = h.doc_id
+        LEFT JOIN (SELECT doc_id, string_agg(word, '; ' ORDER BY pos) AS triggers FROM (
+                     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM clean_marked WHERE is_important AND pred = 1)
+                   WHERE r <= 10 GROUP BY doc_id) t ON d.doc_id = t.doc_id
+        LEFT JOIN (SELECT doc_id, string_agg(sentence || '=' || CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR), ' | ' ORDER BY rank) AS sentences
+                   FROM clean_problems GROUP BY doc_id) p ON d.doc_id = p.doc_id""")
     c.add("x10_sentences", _sentences, "SELECT doc_id, sentence_no, sentence FROM sentences")
     c.add("x11_problematic_sentences", _problematic, """
         SELECT doc_id, CAST(rank AS INTEGER) AS rank, sentence, score FROM (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from riskloom.functions import redaction as rd
 from riskloom.functions import text as tx
 from riskloom.plans import testbed as tb
 
@@ -42,7 +43,14 @@ def ratio(part: str, whole: str) -> str:
 _DISPLAY = "CASE WHEN {0} = 1 THEN 'Suicidal' ELSE 'Not Suicidal' END"
 _NOTE = "CASE WHEN doc_id % 4 = 0 THEN 'note ' || doc_id END"
 
+_MAIL, _PHONE = rd.EMAIL_PATTERN, rd.PHONE_PATTERN
+
 VIEWS: dict[str, str] = {
+    "redacted_documents": f"""
+        SELECT doc_id, regexp_replace(mailless, '{_PHONE}', '[PHONE]', 'g') AS redacted,
+               CAST(len(regexp_extract_all(text, '{_MAIL}')) AS INTEGER) AS email_count,
+               CAST(len(regexp_extract_all(mailless, '{_PHONE}')) AS INTEGER) AS phone_count
+        FROM (SELECT doc_id, text, regexp_replace(text, '{_MAIL}', '[EMAIL]', 'g') AS mailless FROM documents)""",
     "corpus": """
         SELECT d.doc_id, d.text, CASE WHEN l.toxic = 1 THEN 'suicide' ELSE 'non-suicide' END AS class
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
@@ -186,6 +194,40 @@ VIEWS: dict[str, str] = {
               FROM positive_sentences) p
         LEFT JOIN normalized n ON n.doc_id = p.doc_id AND n.pos >= p.first_pos AND n.pos < p.first_pos + p.n_words
         GROUP BY 1, 2, 3, 4""",
+    "clean_words": f"""
+        SELECT doc_id, unnest(w) AS word, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos
+        FROM (SELECT doc_id, {words('lower(redacted)')} AS w FROM redacted_documents)""",
+    "clean_scores": """
+        SELECT *, CASE WHEN pred = 1 THEN prob ELSE 1.0e0 - prob END AS confidence FROM (
+          SELECT doc_id, z, 1.0e0 / (1.0e0 + exp(-(z / 1000000.0e0))) AS prob, CASE WHEN z > 0 THEN 1 ELSE 0 END AS pred FROM (
+            SELECT d.doc_id, i.weight_micro + coalesce(s.z, 0) AS z
+            FROM documents d CROSS JOIN (SELECT weight_micro FROM term_weights WHERE term = '') i LEFT JOIN (
+              SELECT t.doc_id, sum(w.weight_micro) AS z FROM (SELECT DISTINCT doc_id, word FROM clean_words) t
+              JOIN term_weights w ON t.word = w.term AND w.term <> '' GROUP BY t.doc_id) s ON d.doc_id = s.doc_id))""",
+    "clean_normalized": """
+        SELECT doc_id, pos, word, pred, CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 1.0e0 END AS normalized_score FROM (
+          SELECT *, min(s) OVER (PARTITION BY doc_id) AS lo, max(s) OVER (PARTITION BY doc_id) AS hi FROM (
+            SELECT d.doc_id, d.pos, d.word, c.pred,
+                   coalesce(w.weight_micro, 0) / 1000000.0e0 * CASE WHEN c.pred = 1 THEN 1.0e0 ELSE -1.0e0 END AS s
+            FROM clean_words d JOIN clean_scores c ON d.doc_id = c.doc_id
+            LEFT JOIN term_weights w ON d.word = w.term AND w.term <> ''))""",
+    "clean_marked": """
+        SELECT n.*, n.normalized_score >= c.cut AS is_important FROM clean_normalized n
+        JOIN (SELECT doc_id, quantile_cont(normalized_score, 0.75) AS cut FROM clean_normalized GROUP BY doc_id) c
+          ON n.doc_id = c.doc_id""",
+    "clean_sentences": f"""
+        SELECT t.doc_id, t.sentence_no, t.sentence, {word_count('t.sentence')} AS n_words FROM (
+          SELECT doc_id, unnest(s) AS sentence, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sentence_no
+          FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(redacted, '[.!?]+'),
+                       lambda x: {strip('x')}), lambda x: length(x) > 0) AS s FROM redacted_documents)) t
+        JOIN clean_scores c ON t.doc_id = c.doc_id WHERE c.pred = 1""",
+    "clean_problems": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sentence_no) AS rank FROM (
+          SELECT p.doc_id, p.sentence_no, p.sentence, round(avg(n.normalized_score), 9) AS score
+          FROM (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY doc_id ORDER BY sentence_no
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_pos FROM clean_sentences) p
+          JOIN clean_normalized n ON n.doc_id = p.doc_id AND n.pos >= p.first_pos AND n.pos < p.first_pos + p.n_words
+          GROUP BY 1, 2, 3) WHERE score >= 0.5) WHERE rank <= 3""",
     "hits": """
         SELECT event_id AS id, ts, event_type,
                '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS ip_address,
