@@ -23,9 +23,13 @@ def drop_resent(tasks: DataFrame, task_id: str = "task_id", time: str = "submitt
 
 def start(tasks: DataFrame, path: str, checkpoint: str, lexicon: lx.Lexicon = lx.Lexicon(),
           every: str | None = None, task_id: str = "task_id", time: str | None = None) -> StreamingQuery:
-    """One result per task; with ``time``, the column a task was sent at, tasks sent again are dropped."""
+    """One result per task; with ``time``, the column a task was sent at, tasks sent again are dropped.
+
+    The files carry a Bloom filter on the task id, so a lookup skips row groups
+    although ids arrive in no order.
+    """
     fresh = drop_resent(tasks, task_id, time) if time else tasks
-    return to_parquet(score_stream(fresh, lexicon), path, checkpoint, every=every)
+    return to_parquet(score_stream(fresh, lexicon), path, checkpoint, every=every, bloom=task_id)
 
 
 def result_of(spark: SparkSession, path: str, task_id, key: str = "task_id") -> DataFrame:

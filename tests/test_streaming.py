@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import feedback as fb
 from riskloom.operators import visitors as vs
 from riskloom.sources import exports
-from riskloom.streaming import common, scoring, traffic
+from riskloom.streaming import common, scoring, stateful, traffic
 from riskloom.streaming.monitor import CorrectionMonitor
 
 
@@ -96,7 +96,7 @@ def test_dashboards_equal_batch(spark, tmp_path, visits):
     visits.repartition(3).write.parquet(str(tmp_path / "v"))
     stream = common.parquet_stream(spark, str(tmp_path / "v"), visits.schema, files_per_trigger=1)
     _finish(traffic.traffic_dashboard(stream, str(tmp_path / "t"), str(tmp_path / "cp"), every=None))
-    got = sorted(map(tuple, common.latest(spark, str(tmp_path / "t")).select("day", "path", "n_visits").collect()))
+    got = sorted(map(tuple, common.newest(spark, str(tmp_path / "t"), traffic.TRAFFIC_KEYS).select("day", "path", "n_visits").collect()))
     expected = sorted(map(tuple, visits.groupBy(F.date_format("timestamp", "yyyy-MM-dd"), "path").count().collect()))
     assert got == expected
 
@@ -104,7 +104,7 @@ def test_dashboards_equal_batch(spark, tmp_path, visits):
     feedback.repartition(3).write.parquet(str(tmp_path / "f"))
     stream = common.parquet_stream(spark, str(tmp_path / "f"), feedback.schema, files_per_trigger=1)
     _finish(traffic.feedback_dashboard(stream, str(tmp_path / "d"), str(tmp_path / "cp2"), every=None))
-    row = common.latest(spark, str(tmp_path / "d")).first()
+    row = common.newest(spark, str(tmp_path / "d")).first()
     assert (row["total_feedback"], row["low_correct"], row["low_incorrect"]) == (30, 15, 15)
 
 
@@ -135,19 +135,113 @@ def test_days_past_the_retention_leave_the_state(spark, tmp_path):
     removed, kept = 0, []
     for month in (1, 3, 5):
         spark.createDataFrame([(month, "/", dt.datetime(2024, month, 1))], schema).coalesce(1).write.mode("append").parquet(source)
-        query = common.to_batches(counts(), common.publisher(str(tmp_path / "t"), ("day",)), str(tmp_path / "cp"), mode="update")
+        query = common.to_batches(counts(), common.change_log(str(tmp_path / "t")), str(tmp_path / "cp"), mode="update")
         query.awaitTermination()
         for progress in query.recentProgress:
             removed += progress["stateOperators"][0]["numRowsRemoved"]
             kept.append(progress["stateOperators"][0]["numRowsTotal"])
     assert removed >= 1 and kept[-1] <= 2
-    assert common.latest(spark, str(tmp_path / "t")).count() == 3
-
-
-def test_a_gap_between_versions_is_an_error(spark, tmp_path):
-    handle = common.publisher(str(tmp_path / "t"), ("k",))
-    handle(spark.createDataFrame([(1, 1), (2, 1)], "k long, v long"), 0)
-    handle(spark.createDataFrame([(2, 5)], "k long, v long"), 1)
-    assert sorted(map(tuple, common.latest(spark, str(tmp_path / "t")).collect())) == [(1, 1), (2, 5)]
-    with pytest.raises(RuntimeError, match="missing"):
-        handle(spark.createDataFrame([(3, 1)], "k long, v long"), 5)
+    assert common.newest(spark, str(tmp_path / "t"), ("day",)).count() == 3
+
+
+def _size(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_change_log_compacts_and_survives_replay(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k long, v long"
+    log = common.change_log(path)
+    log(spark.createDataFrame([(k, 1) for k in range(2000)], schema), 0)
+    first = _size(tmp_path / "t")
+    log(spark.createDataFrame([(2, 5)], schema), 1)
+    assert _size(tmp_path / "t") - first < first / 2  # what a batch writes depends on its own rows
+    table = lambda: {r["k"]: r["v"] for r in common.newest(spark, path, ("k",)).collect()}
+    want = {k: 1 for k in range(2000)} | {2: 5}
+    assert table() == want
+    assert common.compact(spark, path, ("k",)) == 1 and table() == want
+    log(spark.createDataFrame([(2, 5)], schema), 1)  # the last batch once more
+    log(spark.createDataFrame([(3, 7), (9999, 1)], schema), 2)
+    want |= {3: 7, 9999: 1}
+    assert table() == want
+    assert common.compact(spark, path, ("k",), F.col("k") >= 3) == 2
+    assert table() == {k: v for k, v in want.items() if k >= 3}
+    assert common.compact(spark, path, ("k",)) == 2 and not (tmp_path / "t" / "log" / "batch_id=0").exists()
+    log(spark.createDataFrame([(5, 8)], schema), 3)
+    assert common.compact(spark, path, ("k",)) == 3 and table()[5] == 8 and len(table()) == len(want) - 3
+    with pytest.raises(FileNotFoundError):
+        common.newest(spark, str(tmp_path / "none"))
+
+
+def test_retention_drops_days_and_cuts_one(spark, tmp_path):
+    rows = [(i, None, "1.2.3.4", "curl/8", "/x", "GET", dt.datetime(2024, 1, 1) + dt.timedelta(hours=5 * i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, forwarded string, peer string, user_agent string, path string, method string, timestamp timestamp")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "out")
+    _finish(traffic.ingest(common.parquet_stream(spark, str(tmp_path / "in"), df.schema, 1), path, str(tmp_path / "cp")))
+    for _ in range(2):  # a second run changes nothing
+        traffic.drop_old_visits(spark, path, "2024-01-02 12:00:00")
+        assert {r["id"] for r in spark.read.parquet(path).collect()} == {i for i in range(20) if 5 * i >= 36}
+    assert sorted(common.folders(spark, path, "day")) == ["2024-01-02", "2024-01-03", "2024-01-04"]
+    traffic.drop_old_visits(spark, path, "2024-01-04 23:59:59")
+    assert spark.read.schema(df.schema).parquet(path).count() == 0
+
+
+def test_sessions_of_a_stream_close_with_the_watermark(spark, tmp_path, visits):
+    later = visits.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("end").alias("ip_address"), F.lit("/").alias("path"),
+                                   F.lit(dt.datetime(2024, 3, 1)).cast("timestamp").alias("timestamp"))
+    visits.unionByName(later).write.parquet(str(tmp_path / "v"))
+    stream = common.parquet_stream(spark, str(tmp_path / "v"), visits.schema)
+    _finish(common.to_parquet(traffic.sessions(stream, "60 minutes").drop("w"), str(tmp_path / "t"), str(tmp_path / "cp")))
+    live = sorted((r["ip_address"], r["n_visits"], str(r["started_at"])) for r in spark.read.parquet(str(tmp_path / "t")).collect())
+    assert live == sorted((r["ip_address"], r["n_visits"], str(r["started_at"])) for r in vs.sessions(visits, 60).collect())
+
+
+def test_results_carry_a_bloom_filter(spark, tmp_path):
+    tasks = spark.createDataFrame([(f"task-{i * 7919 % 5000}", "fine") for i in range(5000)], "task_id string, text string")
+    tasks.coalesce(1).write.parquet(str(tmp_path / "in"))
+    _finish(scoring.start(common.parquet_stream(spark, str(tmp_path / "in"), tasks.schema), str(tmp_path / "out"), str(tmp_path / "cp")))
+    (file,) = (tmp_path / "out").glob("*.parquet")
+    jvm = spark._jvm.org.apache.parquet.hadoop
+    source = spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(spark._jvm.org.apache.hadoop.fs.Path(str(file)), spark._jsc.hadoopConfiguration())
+    reader = jvm.ParquetFileReader.open(source)
+    column = next(c for c in reader.getFooter().getBlocks().get(0).getColumns() if c.getPath().toDotString() == "task_id")
+    assert column.getBloomFilterOffset() > 0
+    reader.close()
+    found = scoring.result_of(spark, str(tmp_path / "out"), "task-3")
+    assert found.count() == 1 and "EqualTo(task_id,task-3)" in found._jdf.queryExecution().toString()
+
+
+def test_stateful_monitor_over_batches_restart_and_replay(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "m")
+    schema = _feedback(spark, [1]).withColumn("source", F.lit("school")).schema
+    arrive = lambda ids: _feedback(spark, ids).withColumn("source", F.lit("school")).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stored = spark.read.schema(schema).parquet(source)
+        _finish(stateful.start(common.parquet_stream(spark, source, schema, 1), stored, root))
+
+    arrive(range(0, 80))    # 40 corrections: too few
+    run()
+    assert not exports_of(spark, tmp_path)
+    arrive(range(80, 120))  # 60: export
+    run()
+    arrive(range(120, 140, 2))  # no new correction
+    arrive(range(140, 180))  # 80: export
+    run()
+    run()
+    done = common.newest(spark, f"{root}/events", ("incorrect",)).orderBy("incorrect").collect()
+    assert [(r["incorrect"], r["exports"]) for r in done] == [(60, 1), (80, 2)]
+    assert sorted(exports_of(spark, tmp_path).values()) == [60, 80]
+    # the last batch is run again: its commit is taken away
+    commits = sorted((tmp_path / "m" / "checkpoint" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run()
+    again = common.newest(spark, f"{root}/events", ("incorrect",)).orderBy("incorrect").collect()
+    assert again == done and sorted(exports_of(spark, tmp_path).values()) == [60, 80]
+
+
+def exports_of(spark, tmp_path):
+    root = tmp_path / "m" / "exports"
+    names = [r["filename"] for r in exports.list_exports(spark, str(root)).collect()] if root.exists() else []
+    return {n: exports.read_export(spark, str(root), n).count() for n in names}
