@@ -15,6 +15,7 @@ THANKS_CONFIRMATION = "Thank you for confirming the prediction!"
 PENDING, REVIEWED, INCORPORATED = "pending", "reviewed", "incorporated"
 MIN_CORRECTIONS = 50
 IDS_PER_LOG_ROW = 10_000
+BROADCAST_ROWS = 10_000
 
 
 # --- reviews joined to predictions -------------------------------------------------------------
@@ -25,27 +26,46 @@ def reviewed_predictions(reviews: DataFrame, predictions: DataFrame, feedback_ty
     A prediction that drew a large share of all reviews is salted.
     """
     chosen = reviews if feedback_type is None else reviews.where(F.col("feedback_type") == feedback_type)
-    dim = predictions.select(
+    return salted_join(chosen, _prediction_columns(predictions), "prediction_id", F.col("id"))
+
+
+def _prediction_columns(predictions: DataFrame) -> DataFrame:
+    return predictions.select(
         F.col("id").alias("prediction_id"), F.col("text").alias("p_text"),
         F.col("predicted_class").alias("p_class"), F.col("predicted_label").alias("p_label"),
         F.col("confidence").alias("p_confidence"),
     )
-    return salted_join(chosen, dim, "prediction_id", F.col("id"))
+
+
+def _newest_reviewed(reviews: DataFrame, predictions: DataFrame, feedback_type: str | None, limit: int) -> DataFrame:
+    """The newest ``limit`` reviews that have a prediction, with its text.
+
+    Ids meet first and the cut is made among them; only then are texts looked
+    up, where they are stored, by the rows that were left.
+    """
+    chosen = reviews if feedback_type is None else reviews.where(F.col("feedback_type") == feedback_type)
+    known = salted_join(chosen, predictions.select(F.col("id").alias("prediction_id")), "prediction_id", F.col("id"))
+    newest = known.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+    if limit <= BROADCAST_ROWS:
+        newest = F.broadcast(newest)  # at most BROADCAST_ROWS rows by construction
+    return _prediction_columns(predictions).join(newest, "prediction_id").orderBy(F.desc("timestamp"), F.desc("id"))
 
 
 def for_retraining(
     reviews: DataFrame, predictions: DataFrame, feedback_type: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Texts with their corrected class, newest first."""
-    rows = reviewed_predictions(reviews, predictions, feedback_type).orderBy(F.desc("timestamp"), F.desc("id"))
-    rows = rows if limit is None else rows.limit(limit)
+    if limit is None:
+        rows = reviewed_predictions(reviews, predictions, feedback_type).orderBy(F.desc("timestamp"), F.desc("id"))
+    else:
+        rows = _newest_reviewed(reviews, predictions, feedback_type, limit)
     return rows.select(
         F.col("p_text").alias("text"), "correct_class", "correct_label", "feedback_type", "teacher_notes",
         "timestamp", F.col("id").alias("feedback_id"), "prediction_id")
 
 
 def recent(reviews: DataFrame, predictions: DataFrame, limit: int = 50) -> DataFrame:
-    rows = reviewed_predictions(reviews, predictions).orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+    rows = _newest_reviewed(reviews, predictions, None, limit)
     return rows.select(
         "id", "prediction_id", "correct_class", "correct_label", "feedback_type", "teacher_notes", "email",
         "timestamp", F.col("p_class").alias("predicted_class"), F.col("p_label").alias("predicted_label"),

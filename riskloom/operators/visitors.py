@@ -46,6 +46,23 @@ def approximate_totals(visits: DataFrame, rsd: float = 0.01) -> DataFrame:
         F.count("*").alias("total_visitors"), F.approx_count_distinct("ip_address", rsd).alias("unique_ips"))
 
 
+#: Registers of a daily sketch, as a power of two: a standard error of about 0.8 %, 16 kB a day at most.
+SKETCH_LOG = 14
+
+
+def daily_sketches(visits: DataFrame) -> DataFrame:
+    """``day, n_visits, addresses``: a mergeable sketch of each day's addresses, meant to be stored once per day."""
+    return visits.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").alias("n_visits"), F.hll_sketch_agg("ip_address", SKETCH_LOG).alias("addresses"))
+
+
+def totals_between(sketches: DataFrame, first_day: Column, last_day: Column) -> DataFrame:
+    """Visits and estimated addresses of any stretch of whole days, from the stored sketches alone."""
+    chosen = sketches.where((F.col("day") >= first_day) & (F.col("day") <= last_day))
+    return chosen.agg(F.coalesce(F.sum("n_visits"), F.lit(0)).alias("total_visitors"),
+                      F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("addresses")), F.lit(0)).alias("unique_ips"))
+
+
 def top_paths(visits: DataFrame, limit: int = TOP_PATHS) -> DataFrame:
     return visits.groupBy("path").agg(F.count("*").alias("n_visits")).orderBy(F.desc("n_visits"), "path").limit(limit)
 

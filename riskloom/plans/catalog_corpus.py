@@ -13,6 +13,8 @@ from riskloom.plans.catalog import Catalog
 from riskloom.plans.catalog_evaluation import split_sql
 from riskloom.plans.oracle_views import pct, ratio, strip, word_count, words
 from riskloom.plans.testbed import AGENTS, Testbed
+from riskloom.session import scratch_path
+from riskloom.sources import memberships
 
 LABEL_SQL = "CASE class WHEN 'non-suicide' THEN 0 WHEN 'suicide' THEN 1 END"
 
@@ -44,6 +46,17 @@ def _picked(bed: Testbed) -> DataFrame:
     return corpus.pick_rows(bed.documents, index, "doc_id")
 
 
+def _memberships(bed: Testbed) -> DataFrame:
+    """The 80/10/10 split, written as bitmaps and read back."""
+    path = scratch_path(bed.spark, "memberships")
+    memberships.write_memberships(_split(splits.SPLIT_80_10_10)(bed), path, row_id="doc_id")
+    return memberships.read_bitmaps(bed.spark, path)
+
+
+def _picked_by_bitmap(bed: Testbed) -> DataFrame:
+    return memberships.pick(bed.documents, _memberships(bed), "test", "doc_id")
+
+
 def _first_copies(bed: Testbed) -> DataFrame:
     return corpus.first_copies(bed.documents, "doc_id").select("doc_id")
 
@@ -92,6 +105,12 @@ def register(c: Catalog) -> None:
           "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents")
     c.add("c05_pick_by_index", _picked,
           f"SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM ({split_sql(splits.SPLIT_80_10_10)}) WHERE split = 'test')")
+    c.add("c05_pick_by_bitmap", _picked_by_bitmap,
+          f"SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM ({split_sql(splits.SPLIT_80_10_10)}) WHERE split = 'test')")
+    c.add("s04_split_indices", lambda b: memberships.listed(_memberships(b)),
+          f"SELECT split, doc_id AS row_id FROM ({split_sql(splits.SPLIT_80_10_10)})")
+    c.add("s04_split_sizes", lambda b: memberships.split_sizes(_memberships(b)),
+          f"SELECT split, count(*) AS n_rows FROM ({split_sql(splits.SPLIT_80_10_10)}) GROUP BY split")
     c.add("c06_length_filter", lambda b: corpus.longer_than(b.documents),
           "SELECT doc_id, text FROM documents WHERE length(text) > 10")
     c.add("c06_length_report", lambda b: corpus.length_filter_report(b.documents), """

@@ -11,6 +11,7 @@ from riskloom.operators import visitors as vs
 from riskloom.plans.catalog import Catalog
 from riskloom.plans.oracle_views import pct
 from riskloom.plans.testbed import AGENTS, Testbed
+from riskloom.session import materialize
 
 VIEW_SQL = "NOT starts_with(path, '/api/') AND NOT starts_with(path, '/static') AND path <> '/health'"
 
@@ -67,6 +68,23 @@ def _marked(bed: Testbed) -> DataFrame:
     return vs.mark_analyses(vs.page_views(bed.visitors), analyses).select("id", "led_to_analysis")
 
 
+SKETCH_DAYS = (1, 3, 7, 14, 30)
+
+
+def _sketched(bed: Testbed) -> DataFrame:
+    """Addresses of several windows of whole days from one stored table of daily sketches, held against exact counts."""
+    sketches = materialize(vs.daily_sketches(bed.visitors), "sketches")
+    last = sketches.agg(F.max("day")).scalar()
+    rows = None
+    for days in SKETCH_DAYS:
+        first = F.date_format(F.date_sub(F.to_date(last), days - 1), "yyyy-MM-dd")
+        exact = vs.totals(bed.visitors.where(F.date_format("timestamp", "yyyy-MM-dd") >= first)).select(F.col("unique_ips").alias("exact"))
+        row = vs.totals_between(sketches, first, last).select(
+            F.lit(days).alias("days"), "total_visitors", (F.abs(F.col("unique_ips") / exact.scalar() - 1) <= 0.03).alias("within_3_percent"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 def register(c: Catalog) -> None:
     c.add("v01_page_views", lambda b: vs.page_views(b.visitors).select("id", "path"),
           f"SELECT id, path FROM visitors WHERE {VIEW_SQL}")
@@ -87,6 +105,10 @@ def register(c: Catalog) -> None:
     c.add("v06_unique_ips", lambda b: vs.totals(last_week(b)),
           "SELECT count(*) AS total_visitors, count(DISTINCT ip_address) AS unique_ips FROM last_week")
     c.add("v06_unique_ips_approximate", lambda b: vs.approximate_totals(last_week(b)))
+    c.add("v06_unique_ips_sketched", _sketched, f"""
+        SELECT CAST(d AS INTEGER) AS days, count(*) AS total_visitors, true AS within_3_percent
+        FROM visitors, (SELECT unnest([{', '.join(map(str, SKETCH_DAYS))}]) AS d)
+        WHERE date_trunc('day', ts) > date_trunc('day', (SELECT max(ts) FROM events)) - to_days(CAST(d AS INTEGER)) GROUP BY d""")
     c.add("v07_top_paths", lambda b: vs.top_paths(last_week(b)),
           "SELECT path, count(*) AS n_visits FROM last_week GROUP BY path ORDER BY n_visits DESC, path LIMIT 10")
     c.add("v08_breakdowns", lambda b: vs.breakdowns(last_week(b)), DIMENSIONS_SQL.format("last_week"))

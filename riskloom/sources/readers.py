@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import schemas
+from riskloom.session import materialize
 
 CORRUPT = "_corrupt_record"
 
@@ -99,15 +100,24 @@ def read_results_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RESULTS_DOCUMENT).option("multiLine", True).json(path)
 
 
+#: Files whose offsets (about 150 bytes each) are broadcast.
+MOST_FILES = 200_000
+
+
 def parquet_positions(stored: DataFrame, out: str = "row_id") -> DataFrame:
     """Dense row positions of a stored Parquet table: file order, then place in the file.
 
-    Rows are counted per file, the running totals of the files become offsets;
-    rows are not sorted.  Positions stay valid until the files are rewritten, so
-    keep them only next to the files; across rewrites use a key column.
+    Rows are counted per file, which reads no column; the running totals become
+    offsets, one row per file, stored and counted.  Rows look their file's offset
+    up where they are, neither sorted nor shuffled; with more than ``MOST_FILES``
+    files the offsets are joined as the planner sees fit.  Positions stay valid
+    until the files are rewritten, so keep them only next to the files; across
+    rewrites use a key column.
     """
-    placed = stored.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_i"))
-    sizes = placed.groupBy("_file").agg(F.count("*").alias("_n"))
+    file = F.col("_metadata.file_path").alias("_file")
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(offsets, "_file").withColumn(out, F.col("_before") + F.col("_i")).drop("_file", "_i", "_before")
+    sizes = stored.select(file).groupBy("_file").agg(F.count("*").alias("_n"))
+    offsets = materialize(sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "offsets")
+    small = offsets.count() <= MOST_FILES
+    placed = stored.select("*", file, F.col("_metadata.row_index").alias("_i"))
+    return placed.join(F.broadcast(offsets) if small else offsets, "_file").withColumn(out, F.col("_before") + F.col("_i")).drop("_file", "_i", "_before")
