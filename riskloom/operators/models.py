@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import evaluation, features, profile
+from riskloom.operators.ranking import seeded_hash
 from riskloom.session import materialize
 
 
@@ -31,23 +31,21 @@ def featurize(corpus: DataFrame, stop_words: Sequence[str], split: str = "split"
     return PipelineModel(features.gram_stages(stop_words) + fitted.stages), stored
 
 
-TOLERANCE = 1e-4
+TOLERANCE, MAX_ITER = 1e-4, 1000
 
 
-def logistic(train: DataFrame, label: str = "label", max_iter: int = 1000, c: float = 1.0):
-    """Balanced logistic regression: class weights, L2 penalty of ``1/(c * rows)``.
+def logistic(train: DataFrame, label: str = "label", max_iter: int = MAX_ITER, c: float = 1.0, balanced: bool = True):
+    """Logistic regression, with balanced class weights unless told otherwise; L2 penalty of ``1/(c * rows)``.
 
     Every iteration is a Spark job, so the tolerance decides the cost; ``max_iter`` is only a cap.
     """
-    weighted = profile.with_class_weights(train, label)
-    n = train.count()
-    return LogisticRegression(
-        featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, tol=TOLERANCE,
-        regParam=1.0 / max(1.0, c * n), elasticNetParam=0.0, standardization=False,
-    ).fit(weighted)
+    penalty = 1.0 / max(1.0, c * train.count())
+    if not balanced:
+        return _regression(penalty, max_iter, label, None).fit(train)
+    return _regression(penalty, max_iter, label).fit(profile.with_class_weights(train, label))
 
 
-def svm(train: DataFrame, label: str = "label", max_iter: int = 100, c: float = 1.0):
+def svm(train: DataFrame, label: str = "label", max_iter: int = MAX_ITER, c: float = 1.0):
     weighted = profile.with_class_weights(train, label)
     return LinearSVC(
         featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, tol=TOLERANCE,
@@ -69,20 +67,47 @@ def by_split(scored: DataFrame) -> DataFrame:
     return evaluation.evaluate(scored, ["model", "split"])
 
 
+#: Iterations of the rounds of a search; the last is the cap of ``logistic`` itself.
+ROUNDS = (10, 30, 100, MAX_ITER)
+FOLDS = 5
+
+
+def fold_of(key: str, seed: int = 42, folds: int = FOLDS) -> Column:
+    """A row's fold, from the digest of its key alone: the same whatever the partitions."""
+    return F.pmod(F.conv(F.substring(seeded_hash(key, seed), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+
+
 def select_by_f1(
-    train: DataFrame, reg_params: Sequence[float], label: str = "label", seed: int = 42, parallelism: int = 4
-) -> tuple[object, list[tuple[float, float]]]:
-    """Best of several penalties by F1 of the positive class on a held-out fifth of ``train``."""
-    weighted = profile.with_class_weights(train, label)
-    estimator = LogisticRegression(
-        featuresCol="features", labelCol=label, weightCol="weight", maxIter=100, tol=TOLERANCE, standardization=False)
-    grid = ParamGridBuilder().addGrid(estimator.regParam, list(reg_params)).build()
-    f1 = MulticlassClassificationEvaluator(
-        labelCol=label, predictionCol="prediction", metricName="fMeasureByLabel", metricLabel=1.0)
-    chosen = TrainValidationSplit(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=f1, trainRatio=0.8, seed=seed, parallelism=parallelism,
-    ).fit(weighted)
-    return chosen.bestModel, list(zip(reg_params, chosen.validationMetrics))
+    train: DataFrame, penalties: Sequence[float], label: str = "label", seed: int = 42, key: str = "doc_id", parallelism: int = 4,
+) -> tuple[object, list[tuple[float, float, int]]]:
+    """Best of several penalties by F1 of the positive class on a held-out fold, by successive halving.
+
+    Every penalty is fitted with few iterations on the other folds; the better half goes on with more, the last round
+    has the iterations and tolerance of ``logistic``.  Class weights come from the fitted rows.  The winner is fitted
+    once more on all of ``train``.  Returns it and ``(penalty, F1, iterations)`` of each penalty's last round.
+    """
+    placed = materialize(train.withColumn("_fold", fold_of(key, seed)), "folds")
+    fit, held = placed.where("_fold <> 0").drop("_fold"), placed.where("_fold = 0").drop("_fold")
+    weighted = profile.with_class_weights(fit, label)
+
+    def tried(penalty: float, iterations: int) -> tuple[float, float, int]:
+        scored = predictions(_regression(penalty, iterations, label).fit(weighted), held, "tried", key, label)
+        f1 = evaluation.evaluate(scored).first()
+        return penalty, (f1["f1"] if f1 else 0.0), iterations
+
+    left, results = sorted(penalties), {}
+    with ThreadPoolExecutor(parallelism) as pool:
+        for iterations in ROUNDS:
+            found = sorted(pool.map(lambda p: tried(p, iterations), left), key=lambda r: (-r[1], r[0]))
+            results |= {r[0]: r for r in found}
+            left = [r[0] for r in found[:(len(found) + 1) // 2]]
+    best = _regression(left[0], MAX_ITER, label).fit(profile.with_class_weights(train, label))
+    return best, [results[p] for p in sorted(penalties)]
+
+
+def _regression(penalty: float, iterations: int, label: str, weight: str | None = "weight") -> LogisticRegression:
+    made = LogisticRegression(featuresCol="features", labelCol=label, maxIter=iterations, tol=TOLERANCE, regParam=penalty, elasticNetParam=0.0, standardization=False)
+    return made.setWeightCol(weight) if weight else made
 
 
 def random_penalties(count: int, seed: int = 42, low: float = 1e-5, high: float = 1e-1) -> list[float]:
@@ -101,7 +126,7 @@ def stack(wide: DataFrame, probs: Sequence[str], label: str = "truth", key: str
     assembled = VectorAssembler(inputCols=list(probs), outputCol="features").transform(wide)
     scored = []
     for held_out in (0, 1):
-        meta = LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01, maxIter=100).fit(
+        meta = LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01, maxIter=MAX_ITER).fit(
             assembled.where(F.col(fold) != held_out))
         scored.append(meta.transform(assembled.where(F.col(fold) == held_out)).select(
             key, F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("prob"),

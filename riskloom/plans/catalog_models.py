@@ -9,8 +9,11 @@ from riskloom.functions import labels as lb
 from riskloom.operators import evaluation, features, models, retraining, splits
 from riskloom.plans import retraining_cycle
 from riskloom.plans.catalog import Catalog
+from riskloom.plans.catalog_evaluation import split_sql
 from riskloom.plans.testbed import MODELS, Testbed
 
+SEARCH_DRAWS = 16
+
 # a short list for the queries that SQL checks; the library's default is Spark's English list
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "it", "for", "on", "are", "with")
 
@@ -89,16 +92,15 @@ def _train_evaluate(bed: Testbed) -> DataFrame:
     return models.by_split(_logistic(bed))
 
 
-def _weighted_loss(bed: Testbed) -> DataFrame:
-    """Balanced against unweighted training, by split."""
-    from pyspark.ml.classification import LogisticRegression
-
+def _both_losses(bed: Testbed) -> DataFrame:
     train, table = _train(bed), _features_of(bed)
-    plain = LogisticRegression(featuresCol="features", labelCol="label", maxIter=100, standardization=False,
-                               regParam=1.0 / max(1, train.count())).fit(train)
-    both = models.predictions(models.logistic(train), table, "weighted").unionByName(
-        models.predictions(plain, table, "unweighted"))
-    return models.by_split(both)
+    return models.predictions(models.logistic(train), table, "weighted").unionByName(
+        models.predictions(models.logistic(train, balanced=False), table, "unweighted"))
+
+
+def _weighted_loss(bed: Testbed) -> DataFrame:
+    """Balanced against unweighted training, all else equal, by split."""
+    return models.by_split(_both_losses(bed))
 
 
 def _best_by_f1(bed: Testbed) -> DataFrame:
@@ -106,12 +108,31 @@ def _best_by_f1(bed: Testbed) -> DataFrame:
     return models.by_split(models.predictions(best, _features_of(bed), "best_by_f1"))
 
 
+def _facts(scored: DataFrame) -> DataFrame:
+    """What SQL can say of a trained model's predictions: rows and positives of each part, and that its figures are sound."""
+    sound = ["accuracy", "precision", "recall", "f1"]
+    counted = scored.groupBy("model", "split").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("truth") == 1).alias("n_positive"),
+        F.bool_and(F.col("pred").isin(0, 1)).alias("every_row_decided"))
+    rated = models.by_split(scored).select("model", "split", F.forall(F.array(*sound), lambda m: (m >= 0) & (m <= 1)).alias("rates_in_range"))
+    return counted.join(rated, ["model", "split"])
+
+
+def _search_facts(bed: Testbed) -> DataFrame:
+    """The random search: every draw was tried, the winner trained to the common cap, and each part was scored whole."""
+    best, tried = models.select_by_f1(_train(bed), models.random_penalties(SEARCH_DRAWS))
+    most = max(f1 for _, f1, iterations in tried if iterations == models.MAX_ITER)
+    last = [p for p, f1, iterations in tried if iterations == models.MAX_ITER and f1 == most]
+    return _facts(models.predictions(best, _features_of(bed), "random_search")).withColumns({
+        "n_settings": F.lit(len({p for p, *_ in tried})), "winner_is_best": F.lit(best.getRegParam() == min(last))})
+
+
 def _svm(bed: Testbed) -> DataFrame:
     return models.by_split(models.predictions(models.svm(_train(bed)), _features_of(bed), "tfidf_svm"))
 
 
 def _search(bed: Testbed) -> DataFrame:
-    best, _ = models.select_by_f1(_train(bed), models.random_penalties(4))
+    best, _ = models.select_by_f1(_train(bed), models.random_penalties(SEARCH_DRAWS))
     return models.by_split(models.predictions(best, _features_of(bed), "random_search"))
 
 
@@ -124,7 +145,15 @@ def _stacked(bed: Testbed) -> DataFrame:
 def _cycle(bed: Testbed) -> DataFrame:
     """The whole cycle on the labelled corpus and its corrections; metrics by part."""
     wrong = bed.feedback.where(~F.col("is_correct"))
-    return retraining_cycle.run(bed.corpus, wrong, "retrained", min_samples=1).metrics
+    return retraining_cycle.run(bed.corpus, wrong, "retrained").metrics
+
+
+def _cycle_facts(bed: Testbed) -> DataFrame:
+    """Rows of the stored training set by part and origin, and whether the log speaks of every correction."""
+    wrong = bed.feedback.where(~F.col("is_correct"))
+    cycle = retraining_cycle.run(bed.corpus, wrong, "retrained")
+    logged = cycle.log.agg(F.sum("num_samples")).scalar() == wrong.where(F.col("text").isNotNull()).agg(F.count("*")).scalar()
+    return cycle.training_set.groupBy("split", "origin", "label").agg(F.count("*").alias("n_rows")).withColumn("all_logged", logged)
 
 
 def _retraining(split_first: bool):
@@ -155,6 +184,13 @@ OVERSAMPLE_FIRST_SQL = _CUT_SQL.format(f"""
     WHERE c = 1 OR origin = 'feedback'""")
 
 
+def _facts_sql(*names: str) -> str:
+    return f"""
+        SELECT m.model, split, count(*) AS n_rows, count(*) FILTER (WHERE class = 'suicide') AS n_positive,
+               true AS every_row_decided, true AS rates_in_range
+        FROM ({split_sql(splits.SPLIT_80_10_10)}), (SELECT unnest([{', '.join(repr(n) for n in names)}]) AS model) m GROUP BY 1, 2"""
+
+
 def register(c: Catalog) -> None:
     c.add("m01_tokens", _tokens,
           f"SELECT doc_id, len(grams) AS n_grams, array_to_string(grams, ',') AS grams FROM ({GRAMS_SQL})")
@@ -163,7 +199,14 @@ def register(c: Catalog) -> None:
     c.add("m04_logistic_scores", _logistic)
     c.add("m05_train_evaluate", _train_evaluate)
     c.add("m05_retraining_cycle", _cycle)
+    c.add("m05_retraining_facts", _cycle_facts, f"""
+        SELECT split, origin, CASE class WHEN 'suicide' THEN 1 ELSE 0 END AS label, count(*) AS n_rows, true AS all_logged
+        FROM ({SPLIT_FIRST_SQL}) GROUP BY 1, 2, 3""")
     c.add("m07_weighted_loss", _weighted_loss)
+    c.add("m07_weighted_loss_facts", lambda b: _facts(_both_losses(b)), _facts_sql("weighted", "unweighted"))
+    c.add("m04_logistic_facts", lambda b: _facts(_logistic(b)), _facts_sql("tfidf_logistic"))
+    c.add("d14_random_search_facts", _search_facts, f"""
+        SELECT *, CAST({SEARCH_DRAWS} AS INTEGER) AS n_settings, true AS winner_is_best FROM ({_facts_sql('random_search')})""")
     c.add("m08_best_by_f1", _best_by_f1)
     c.add("d07_stacking", _stacked)
     c.add("d13_linear_svm", _svm)

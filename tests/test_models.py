@@ -45,8 +45,12 @@ def test_svm_and_selection(fitted):
     scored = models.predictions(models.svm(train), table, "svm")
     assert scored.where("prob is not null").count() == 0
     assert evaluation.evaluate(scored).first()["accuracy"] > 0.95
-    best, tried = models.select_by_f1(train, models.random_penalties(2), parallelism=2)
-    assert len(tried) == 2 and evaluation.evaluate(models.predictions(best, table, "b")).first()["accuracy"] > 0.95
+    draws = models.random_penalties(5)
+    best, tried = models.select_by_f1(train, draws, parallelism=2)
+    assert [p for p, *_ in tried] == draws and {n for *_, n in tried} >= {models.ROUNDS[0], models.MAX_ITER}
+    again, same = models.select_by_f1(train.repartition(7), draws, parallelism=1)
+    assert again.getRegParam() == best.getRegParam() and [p for p, *_ in same] == draws
+    assert evaluation.evaluate(models.predictions(best, table, "b")).first()["accuracy"] > 0.95
 
 
 def test_stacking_scores_every_row_once(spark):
