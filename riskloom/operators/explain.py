@@ -1,9 +1,9 @@
 """Explained analysis: the model's document with word highlights, triggers and problematic sentences.
 
 The words of a text meet their weights once; what follows (sign, min-max, percentile, triggers, sentence means) is one
-array program inside the row.  Texts are partitioned by key once and both the word rows and the final rows read that, so
-with a weights table that is broadcast there is one exchange.  Sentences are folded with the best few kept, so the work
-is linear in the length of a text.
+array program inside the row.  Texts are partitioned by key, once to be cut into words and once to meet the words' weights
+again; with a weights table that is broadcast no word row is shuffled.  Sentences are folded with the best few kept, so
+the work is linear in the length of a text.  Keys have to be unique.
 """
 
 from __future__ import annotations
