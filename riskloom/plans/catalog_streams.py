@@ -15,8 +15,9 @@ from riskloom.plans.catalog_text import analysis_sql
 from riskloom.plans.catalog_visitors import INGEST_SQL, SESSIONS_SQL, VIEW_SQL, iso
 from riskloom.plans.testbed import TEST_LEXICON, Testbed
 from riskloom.session import scratch_path
+from riskloom.sources import exports
 from riskloom.streaming import scoring as score_jobs
-from riskloom.streaming import traffic
+from riskloom.streaming import stateful, traffic
 from riskloom.streaming.common import change_log, newest, parquet_stream, to_batches, to_parquet
 from riskloom.streaming.monitor import CorrectionMonitor
 
@@ -69,6 +70,18 @@ def _monitored(bed: Testbed) -> DataFrame:
     return monitor._state_rows().orderBy(F.desc("batch_id")).limit(1).select("total", "incorrect", "last_export_count")
 
 
+def _stateful(bed: Testbed) -> DataFrame:
+    """The monitor with keyed state, over several micro-batches and a second run that finds nothing new."""
+    path, root = scratch_path(bed.spark, "feedback"), scratch_path(bed.spark, "monitor")
+    rows = bed.feedback.withColumn("source", F.lit("reviews"))
+    rows.repartition(3).write.parquet(path)
+    for _ in range(2):
+        _finish(stateful.start(parquet_stream(bed.spark, path, rows.schema, 1), bed.spark.read.schema(rows.schema).parquet(path), root))
+    events = newest(bed.spark, f"{root}/events", ("source",))
+    last = exports.list_exports(bed.spark, f"{root}/exports").select(F.regexp_extract("filename", "corrections_([0-9]+)samples", 1).cast("long").alias("n"))
+    return events.select("source", "incorrect", (last.agg(F.max("n")).scalar() == F.col("incorrect")).alias("last_export_is_whole"))
+
+
 def _scheduled(bed: Testbed) -> DataFrame:
     """Two scheduled runs over the same input: the second finds nothing new and exports nothing."""
     monitor = CorrectionMonitor(bed.spark, scratch_path(bed.spark, "monitor"), min_corrections=50)
@@ -169,6 +182,9 @@ def register(c: Catalog) -> None:
     c.add("t02_correction_monitor", _monitored, """
         SELECT total, incorrect, CASE WHEN incorrect >= 50 THEN incorrect ELSE 0 END AS last_export_count FROM (
           SELECT count(*) AS total, count(*) FILTER (WHERE NOT is_correct) AS incorrect FROM feedback)""")
+    c.add("t02_stateful_monitor", _stateful, """
+        SELECT 'reviews' AS source, incorrect, true AS last_export_is_whole FROM (
+          SELECT count(*) FILTER (WHERE NOT is_correct) AS incorrect FROM feedback) WHERE incorrect >= 50""")
     c.add("t03_scheduled_runs", _scheduled, """
         SELECT CAST(incorrect >= 50 AS BIGINT) AS n_exports, CASE WHEN incorrect >= 50 THEN incorrect END AS last_export_count
         FROM (SELECT count(*) FILTER (WHERE NOT is_correct) AS incorrect FROM feedback)""")
