@@ -6,7 +6,8 @@ A budget of at least the whole source is filled with complete epochs first; only
 
 All of it is DataFrame work.  A source may hold any share of the rows: its order is cut into blocks of keys, block sums
 give the running totals, and only the one block in which the budget ends is sorted.  What is left per source is one row,
-``cuts``, so documents are matched to their source's cut without moving any text.
+``cuts``, stored and counted, so documents are matched to their source's cut without moving any text; beyond
+``MOST_SOURCES`` sources documents and cuts are salted instead.
 
 Edge cases: null or blank texts have size 0 and are never taken; null sources form one group, ranked last; a source of
 size 0 has target 0; rows that repeat a ``doc_id`` in one source share a key and divide the cut by size; documents
@@ -26,6 +27,18 @@ SHARE = 1.5
 MOST = 2
 #: Blocks of equal probability into which a source's keys are cut.
 KEY_BLOCKS = 4096
+#: With at most this many sources their rows (about 100 bytes each) are broadcast; with more, documents are salted.
+MOST_SOURCES = 100_000
+SALTS = 64
+
+
+def _with_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` as b joined to ``facts`` as c, stored rows with a source at most once; any source may hold any share of ``rows``."""
+    if facts.count() <= MOST_SOURCES:
+        return rows.alias("b").join(F.broadcast(facts).alias("c"), F.expr("b.source <=> c.source"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int"))
+    copied = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.alias("b").join(copied.alias("c"), F.expr("b.source <=> c.source and b.salt = c.salt"))
 
 
 def size_of(text: Column) -> Column:
@@ -89,14 +102,15 @@ def cuts(base: DataFrame, **settings) -> DataFrame:
     ends = (sums.withColumn("before", before).alias("s").join(goal.alias("g"), F.expr("s.source <=> g.source"))
             .where("g.rest > 0 and s.before < g.rest and g.rest <= s.before + s.words")
             .select("s.source", "s.block", "s.before", "g.rest"))
-    last = (filled.alias("f").join(ends.alias("e"), F.expr("f.source <=> e.source and f.block = e.block"))
-            .groupBy("f.source", "f.key", "f.doc_id", "e.before", "e.rest").agg(F.sum("f.size").alias("cut_size")))
+    last = (_with_source(filled, materialize(ends, "ends")).where("b.block = c.block")
+            .groupBy("b.source", "b.key", "b.doc_id", "c.before", "c.rest").agg(F.sum("b.size").alias("cut_size")))
     order = Window.partitionBy("source").orderBy("key", "doc_id")
     last = (last.withColumn("so_far", F.col("before") + F.sum("cut_size").over(order) - F.col("cut_size"))
             .where("so_far < rest and rest <= so_far + cut_size")
             .select("source", F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), "cut_size", (F.col("rest") - F.col("so_far")).alias("cut_words")))
-    return (goal.alias("g").join(last.alias("l"), F.expr("g.source <=> l.source"), "left")
-            .select("g.source", "source_size", "target", "epochs", "cut_key", "cut_id", "cut_size", "cut_words"))
+    whole = (goal.alias("g").join(last.alias("l"), F.expr("g.source <=> l.source"), "left")
+             .select("g.source", "source_size", "target", "epochs", "cut_key", "cut_id", "cut_size", "cut_words"))
+    return materialize(whole, "cuts")
 
 
 def _taken() -> Column:
@@ -110,7 +124,7 @@ def _taken() -> Column:
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """Per document: ``size``, its source's ``source_size`` and ``target``, and ``taken``, words that the mix takes."""
     base = materialize(_base(docs), "mix")
-    joined = base.alias("b").join(cuts(base, **settings).alias("c"), F.expr("b.source <=> c.source"))
+    joined = _with_source(base, cuts(base, **settings))
     return joined.select("b.doc_id", "b.size", "c.source_size", "c.target", _taken().alias("taken"))
 
 
@@ -124,6 +138,6 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("source").cast("string").alias("source"),
                        F.col("text").cast("string").alias("text")).withColumn("size", size)
     rows = rows.withColumn("key", key_of(F.col("doc_id"), quality_weight(F.col("text"), F.col("size")))).drop("text")
-    joined = rows.alias("b").join(found.alias("c"), F.expr("b.source <=> c.source"))
+    joined = _with_source(rows, found)
     copies = F.when(F.col("b.size") > 0, F.round(_taken() / F.col("b.size"))).otherwise(0).cast("int")
     return joined.select("b.row", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("row.*")

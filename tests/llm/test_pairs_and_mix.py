@@ -59,8 +59,9 @@ def test_join_of_an_empty_table(spark):
     assert ngram_jaccard.similarity_components(h.frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_mix_equals_plain_version(spark, seed):
+@pytest.mark.parametrize("seed, most", [(1, 100_000), (2, 100_000), (1, 1)])
+def test_mix_equals_plain_version(spark, monkeypatch, seed, most):
+    monkeypatch.setattr(source_mix, "MOST_SOURCES", most)  # broadcast or salted
     rows = h.documents(seed)
     taken, target = h.mix(rows)
     source = {i: s for i, _, s in rows}
@@ -89,6 +90,11 @@ def test_mixed_documents_repeat_whole_rows(spark):
         assert times.get(i, 0) == (int(taken[i] / n + 0.5) if n else 0)
 
 
+def test_mixing_moves_no_text(spark):
+    plan = source_mix.mixed_documents(h.frame(spark, h.documents(4)))._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+
+
 def test_mix_of_empty_tables(spark):
     assert source_mix.mix(h.frame(spark, [])).count() == 0
     assert [r.taken for r in source_mix.mix(h.frame(spark, [(1, None, None), (2, " ", "a")])).collect()] == [0, 0]
