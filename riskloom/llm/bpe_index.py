@@ -15,14 +15,13 @@ rows; other columns are ignored or passed on.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts are cut into batches of about this many characters; their distinct words are encoded together.
-BATCH_CHARS = 6_000_000
+#: Texts are cut into batches of about this many bytes, whose new distinct words are encoded together: a worker needs about
+#: fifteen times as much.  ``SMALL`` is for stages that share an executor's memory with much else.
+BATCH_CHARS, SMALL_CHARS = 12_000_000, 2_000_000
+#: Words whose ids a worker keeps from one batch to the next, in each of two generations (about 200 bytes each).
+REMEMBERED, SMALL_REMEMBERED = 300_000, 100_000
 #: Fixed value: the splitting pattern of the vocabulary files that are supported.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = regex.compile(r"\s+")
@@ -65,6 +67,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         named = {i: t for t, i in {**self.vocab, **self.special}.items()}
         self.tokens = [named.get(i, "") for i in range(max(named) + 1)]
+        self.spaced = [t.encode() + b" " for t in self.tokens]
         letters = _byte_letters()
         self.first = np.array([self.vocab[c] for c in letters], np.int64)
         self.last = np.array([self.vocab[c + self.end] for c in letters], np.int64)
@@ -202,15 +205,12 @@ class Vocabulary:
             symbols[at:at + 2] = [int(self.made[ranks[at]])]
         return symbols
 
-    def table(self, chunks: list[str], decode: bool = True) -> dict[str, tuple[bytes, str, int]]:
-        """chunk -> its ids as little-endian unsigned 32-bit integers, their decoded text if asked for, and their number."""
-        parts = [self.words(c) for c in chunks]
-        distinct = list({w for words in parts for w in words if w[0] != " "})
-        ids, bounds = self.encode_words(distinct)
-        raw, names, cut = ids.tobytes(), list(map(self.tokens.__getitem__, ids.tolist())) if decode else [], bounds.tolist()
-        known = {w: (raw[4 * a:4 * b], " ".join(names[a:b]), b - a) for w, a, b in zip(distinct, cut, cut[1:], strict=False)}
-        known |= {" " + name: (np.array([i], "<u4").tobytes(), name, 1) for name, i in self.special.items()}
-        return {chunk: known[words[0]] if len(words) == 1 else _joined([known[w] for w in words], decode) for chunk, words in zip(chunks, parts, strict=True)}
+    def coded(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of each word its ids as little-endian unsigned 32-bit integers, and their strings, each with a space behind it."""
+        ids, bounds = self.encode_words(words)
+        raw, cut = ids.tobytes(), bounds.tolist()
+        names = list(map(self.spaced.__getitem__, ids.tolist()))
+        return [(raw[4 * a:4 * b], b"".join(names[a:b])) for a, b in zip(cut, cut[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces, as a vocabulary without decoder is decoded."""
@@ -226,60 +226,136 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def slices(column: pa.Array, limit: int) -> Iterator[list[str]]:
-    """The texts of a column in order, in lists of about ``limit`` bytes; null counts as empty."""
+def slices(column: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """A column of texts in order, in parts of about ``limit`` bytes; null counts as empty."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
-        yield [t or "" for t in column.slice(at, to - at).to_pylist()]
+        yield pc.fill_null(column.slice(at, to - at), "").cast(pa.large_string())
         at = to
 
 
-def _joined(found: list[tuple[bytes, str, int]], decode: bool) -> tuple[bytes, str, int]:
-    raw = b"".join([f[0] for f in found])
-    return raw, " ".join([f[1] for f in found if f[2]]) if decode else "", len(raw) // 4
-
-
-def encoded(texts: list[str], vocab: Vocabulary, decode: bool = True) -> Iterator[tuple[bytes, str, int]]:
-    """(ids as bytes, decoded text, number of ids) of each text; chunks are shared within batches."""
-    at = 0
-    while at < len(texts):
-        to, held = at, 0
-        distinct: set[str] = set()
-        while to < len(texts) and (to == at or held + len(texts[to]) <= BATCH_CHARS):
-            held += len(texts[to])
-            distinct.update(vocab.chunks(texts[to]))
-            to += 1
-        gc.disable()  # so many small tuples would be searched again and again
-        table = vocab.table(list(distinct), decode)
-        gc.enable()
-        for text in texts[at:to]:
-            yield _joined([table[c] for c in vocab.chunks(text)], decode)
-        at = to
+class Chunks:
+    """Texts as arrays of word numbers, and what is known of each word; frequent words are remembered between batches.
+
+    Arrow cuts a batch into chunks and numbers them, cuts the distinct chunks into words and numbers those; new distinct
+    words alone go to ``code``, and what they became is gathered by number.  Chunks that Arrow would cut differently (not
+    ASCII, with an apostrophe, special strings) are cut one by one, distinct as they are.  ``whole`` codes a chunk that
+    has a word which normalisation would change once more.
+    """
+
+    def __init__(self, vocab: Vocabulary, code: Callable[[list[str]], list[tuple[bytes, ...]]], kinds: int,
+                 whole: Callable[[str], tuple[bytes, ...]] | None = None, remembered: int | None = None) -> None:
+        self.vocab, self.code, self.kinds, self.whole = vocab, code, kinds, whole
+        self.remembered = remembered or REMEMBERED
+        self.recent: dict[str, tuple[bytes, ...]] = {}
+        self.older: dict[str, tuple[bytes, ...]] = {}
+
+    def _lists(self, texts: pa.Array) -> pa.Array:
+        """The chunks of each text; texts with special strings, or with white space to Python only, are cut one by one."""
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+        for name in self.vocab.special:
+            odd = pc.or_(odd, pc.match_substring(texts, name))
+        return _replaced(pc.utf8_split_whitespace(texts), odd, texts, self.vocab.chunks)
+
+    def _words(self, chunk: str) -> list[str]:
+        words = self.vocab.words(chunk) if chunk else []
+        if self.whole and any(not w.isascii() and self.vocab.normalize(w) != w for w in words):
+            return ["\n" + chunk]
+        return words
+
+    def _cut(self, chunks: pa.Array) -> pa.Array:
+        """The words of each chunk."""
+        odd = pc.or_(pc.invert(pc.string_is_ascii(chunks)), pc.match_substring_regex(chunks, "['\\s\x0b\x1c-\x1f]"))
+        apart = pc.replace_substring_regex(pc.ascii_lower(chunks), "([^a-z0-9]+|[0-9])", " \\1 ")
+        return _replaced(pc.utf8_split_whitespace(pc.utf8_trim_whitespace(apart)), odd, chunks, self._words)
+
+    def _coded(self, words: list[str]) -> dict[str, tuple[bytes, ...]]:
+        """What new words become; a leading space marks a special string, a leading line end a whole chunk."""
+        plain = [w for w in words if w and w[0] not in " \n"]
+        out = dict(zip(plain, self.code(plain), strict=True)) if plain else {}
+        for w in words:
+            if not w:
+                out[w] = (b"",) * self.kinds
+            elif w[0] == " ":
+                i = self.vocab.special[w[1:]]
+                out[w] = (np.array([i], "<u4").tobytes(), self.vocab.spaced[i])[:self.kinds]
+            elif w[0] == "\n":
+                out[w] = self.whole(w[1:])
+        return out
+
+    def _known(self, words: list[str]) -> list[tuple[bytes, ...]]:
+        recent, older = self.recent, self.older
+        found = [recent.get(w) or older.get(w) for w in words]
+        fresh = self._coded([w for w, f in zip(words, found, strict=True) if f is None])
+        if fresh:
+            found = [fresh[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        if len(recent) + len(words) > self.remembered:  # two generations: what came lately stays
+            self.recent, self.older = {}, recent if len(recent) <= self.remembered else {}
+        self.recent.update(zip(words, found, strict=True))
+        return found
+
+    def gathered(self, texts: pa.Array) -> list[tuple[memoryview, np.ndarray]]:
+        """For each thing known of words: all of it in the order of the texts, and where each text begins in it."""
+        lists = self._lists(texts)
+        numbered = lists.values.dictionary_encode()
+        cut = self._cut(numbered.dictionary)
+        words = cut.values.dictionary_encode()
+        known = self._known(words.dictionary.to_pylist())
+        out = []
+        for column in zip(*known, strict=True) if known else [()] * self.kinds:
+            data, ends = _bytes(pa.array(column, pa.large_binary()).take(words.indices))
+            chunks = pa.Array.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(np.ascontiguousarray(ends[cut.offsets.to_numpy()])), data])
+            data, ends = _bytes(chunks.take(numbered.indices))
+            out.append((memoryview(data), ends[lists.offsets.to_numpy()]))
+        return out
+
+
+def _bytes(values: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of an array that begins at its buffers' start, and where each value begins."""
+    data = values.buffers()[2]
+    ends = np.frombuffer(values.buffers()[1], np.int64)[:len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return data if data is not None else pa.py_buffer(b""), ends
+
+
+def _replaced(lists: pa.Array, odd: pa.Array, values: pa.Array, cut: Callable[[str], list[str]]) -> pa.Array:
+    """``lists`` with those of odd values cut by ``cut`` instead."""
+    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if not len(at):
+        return lists
+    apart = pa.array([cut(v) for v in values.take(pa.array(at)).to_pylist()], lists.type)
+    order = np.arange(len(values))
+    order[at] = len(values) + np.arange(len(at))
+    return pa.concat_arrays([lists, apart]).take(pa.array(order))
 
 
 def _digest_rows(path: str, whole: bool, decode: bool):
     names = ["ids", "decoded"] if whole else ["ids_sha256", "decoded_sha256"]
+    size, remembered = (SMALL_CHARS, SMALL_REMEMBERED) if whole else (BATCH_CHARS, REMEMBERED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
+        chunks = Chunks(vocab, vocab.coded if decode else lambda new: [c[:1] for c in vocab.coded(new)], 1 + decode, remembered=remembered)
         for batch in batches:
-            at, rows = 0, []
-
-            def close() -> pa.RecordBatch:
-                cols = list(zip(*rows, strict=True))
-                ids = batch.column("doc_id").slice(at, len(rows)).cast(pa.int64())
-                return pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), *(pa.array(c) for c in cols[1:])], ["doc_id", "n_tokens", *names])
-
-            for texts in slices(batch.column("text"), BATCH_CHARS):
-                for raw, decoded, n in encoded(texts, vocab, decode):
-                    rows.append((n, raw, decoded) if whole else (n, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-                    if len(rows) == 256:
-                        yield close()
-                        at, rows = at + len(rows), []
-            if rows:
-                yield close()
+            at = 0
+            for texts in slices(batch.column("text"), size):
+                (raw, ends), *rest = chunks.gathered(texts)
+                counts = np.diff(ends) // 4
+                if whole:
+                    ids = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(raw)]).cast(pa.binary())
+                else:
+                    ids = pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)])
+                if rest:
+                    (told, to), = rest
+                    parts = [told[a:max(a, b - 1)] for a, b in zip(to.tolist(), to[1:].tolist(), strict=False)]  # without the last space
+                    decoded = pa.array([bytes(p).decode() if whole else hashlib.sha256(p).hexdigest() for p in parts], pa.string())
+                else:
+                    decoded = pa.array([""] * len(texts))
+                keys = batch.column("doc_id").slice(at, len(texts)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(counts), ids, decoded], ["doc_id", "n_tokens", *names])
+                at += len(texts)
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import os
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -16,6 +18,8 @@ import helpers_llm as h  # noqa: E402
 
 from riskloom.llm import bpe_index, licence_scan, pii_anchors, quality_ledger, token_files  # noqa: E402
 
+from riskloom.session import scratch_path  # noqa: E402
+
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -83,9 +87,36 @@ def test_encoder_equals_the_library():
     tokenizer = library()
     texts = odd_texts()
     want = tokenizer.encode_batch(texts, add_special_tokens=False)
-    for text, e, (raw, decoded, n) in zip(texts, want, bpe_index.encoded(texts, bpe_index.vocabulary(PATH)), strict=True):
-        assert raw == np.array(e.ids, "<u4").tobytes() and n == len(e.ids), text
-        assert decoded == tokenizer.decode(e.ids, skip_special_tokens=False)
+    vocab = bpe_index.vocabulary(PATH)
+    for chunks in (bpe_index.Chunks(vocab, vocab.coded, 2), ) * 2:  # again from what it remembers
+        (ids, at), (told, to) = chunks.gathered(pa.array(texts, pa.large_string()))
+        for k, (text, e) in enumerate(zip(texts, want, strict=True)):
+            assert bytes(ids[at[k]:at[k + 1]]) == np.array(e.ids, "<u4").tobytes(), text
+            assert bytes(told[to[k]:max(to[k], to[k + 1] - 1)]).decode() == tokenizer.decode(e.ids, skip_special_tokens=False)
+
+
+def test_what_is_remembered_stays_bounded_and_right(monkeypatch):
+    monkeypatch.setattr(bpe_index, "REMEMBERED", 40)
+    vocab, tokenizer = bpe_index.vocabulary(PATH), library()
+    chunks = bpe_index.Chunks(vocab, vocab.coded, 2)
+    for text in odd_texts() * 2:
+        (ids, at), _ = chunks.gathered(pa.array([text], pa.large_string()))
+        assert bytes(ids[at[0]:at[1]]) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(chunks.older) <= 40 and len(chunks.recent) <= max(80, len(text))
+
+
+def test_two_vocabularies_in_one_worker(spark, tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"] = spec["model"]["merges"][:300]
+    other = tmp_path / "fewer.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    rows = [(k, "the theatre thereafter, and others", "s") for k in range(8)]
+    for path in (PATH, str(other), PATH):
+        want = Tokenizer.from_file(path).encode(rows[0][1], add_special_tokens=False).ids + [1]
+        target = scratch_path(spark, "two")
+        token_files.write_tokens(h.frame(spark, rows), path, target, files=1, by_word=True)
+        assert {tuple(r.ids) for r in token_files.read_tokens(spark, target).collect()} == {tuple(want)}
 
 
 def test_encoding_digests(spark):
