@@ -53,6 +53,15 @@ def svm(train: DataFrame, label: str = "label", max_iter: int = MAX_ITER, c: flo
     ).fit(weighted)
 
 
+def save(text_model: PipelineModel, classifier, path: str) -> None:
+    """One artefact that takes raw texts: the text stages and the classifier."""
+    PipelineModel([*text_model.stages, classifier]).write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def predictions(model, rows: DataFrame, name: str, key: str = "doc_id", label: str = "label") -> DataFrame:
     """``model, key, pred, prob, truth`` and the other columns of ``rows``; prob only where the model has one."""
     scored = model.transform(rows)

@@ -7,18 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import splits
+from riskloom.functions import labels
+from riskloom.operators import feedback, splits
 
 
-def tagged(original: DataFrame, feedback: DataFrame, original_key: str = "doc_id", feedback_key: str = "feedback_id") -> DataFrame:
+def tagged(original: DataFrame, reviewed: DataFrame, original_key: str = "doc_id", feedback_key: str = "feedback_id") -> DataFrame:
     """Original and feedback rows as ``key, origin, text, class``, complete rows only."""
     left = original.select(
         F.concat(F.lit("o"), F.col(original_key).cast("string")).alias("key"), F.lit("original").alias("origin"), "text", "class")
-    right = feedback.select(
+    right = reviewed.select(
         F.concat(F.lit("f"), F.col(feedback_key).cast("string")).alias("key"), F.lit("feedback").alias("origin"), "text", "class")
     return left.unionByName(right).na.drop("any")
 
 
+def corrected_texts(reviews: DataFrame, predictions: DataFrame, feedback_type: str = "correction") -> DataFrame:
+    """``text, class`` of reviewed predictions, with the reviewer's class; reviews without a prediction fall away."""
+    rows = feedback.for_retraining(reviews, predictions, feedback_type)
+    return rows.select("text", labels.label_of(F.col("correct_class")).alias("class"))
+
+
 def training_set(
     rows: DataFrame, times: int = 5, split_first: bool = True,
     parts: Sequence[tuple[str, int]] = splits.SPLIT_90_10, seed: int = splits.SEED,

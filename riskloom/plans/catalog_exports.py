@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from riskloom import schemas
 from riskloom.functions import text
-from riskloom.operators import corpus, evaluation, models
+from riskloom.operators import corpus, evaluation, features, models, retraining
 from riskloom.operators import feedback as fb
 from riskloom.plans.catalog import Catalog
 from riskloom.plans.catalog_evaluation import split_sql, _split_predictions
+from riskloom.plans.catalog_models import _split_corpus
 from riskloom.plans.catalog_feedback import ISO, READY_SQL, TOTALS_SQL
 from riskloom.plans.oracle_views import ratio, word_count
 from riskloom.operators import splits
@@ -109,7 +110,59 @@ def _results(bed: Testbed) -> DataFrame:
         F.col("val_results.eval_fnr").alias("val_fnr"))
 
 
+def _malformed(bed: Testbed) -> DataFrame:
+    """A corpus of which every fiftieth row has a column too many: what the tolerant reader keeps and what it sets aside."""
+    path = scratch_path(bed.spark, "corpus-malformed")
+    bad = F.col("doc_id") % 50 == 0
+    exports.write_csv(bed.corpus.where(~bad).select("text", "class"), f"{path}/sound")
+    exports.write_csv(bed.corpus.where(bad).select("text", "class", F.lit("spare").alias("more")), f"{path}/broken")
+    kept = readers.read_corpus_tolerant(bed.spark, f"{path}/*").agg(
+        F.count("*").alias("n_kept"), F.count_if(F.col("class") == "suicide").alias("n_suicide"))
+    aside = readers.read_quarantine(bed.spark, f"{path}/*").agg(F.count("*")).scalar()
+    return kept.withColumn("n_malformed", aside)
+
+
+def _comparison_csv(bed: Testbed) -> DataFrame:
+    """The table of all models, written as CSV and read back."""
+    path = scratch_path(bed.spark, "model-comparison")
+    table = evaluation.evaluate(bed.model_predictions).select("model", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "fnr", "fpr")])
+    exports.write_csv(table, path)
+    return bed.spark.read.schema(table.schema).option("header", True).csv(path)
+
+
+def _artefact(bed: Testbed) -> DataFrame:
+    """A trained model with its text stages, saved and loaded: it predicts what the one in memory does, from raw texts."""
+    rows = _split_corpus(bed)
+    text_model, table = models.featurize(rows, features.default_stop_words())
+    fitted = models.logistic(table.where(F.col("split") == "train").drop("split"))
+    path = scratch_path(bed.spark, "model")
+    models.save(text_model, fitted, path)
+    loaded = models.load(path).transform(rows).select("doc_id", F.col("prediction").cast("int").alias("again"))
+    both = models.predictions(fitted, table, "artefact").join(loaded, F.col("key") == F.col("doc_id"))
+    return both.groupBy("split").agg(F.count("*").alias("n_rows"), F.bool_and(F.col("pred") == F.col("again")).alias("same"))
+
+
+def _combined_training_set(bed: Testbed) -> DataFrame:
+    """Corpus and three copies of each text that reviewers corrected, written as CSV and read back."""
+    path = scratch_path(bed.spark, "training-set")
+    corrected = retraining.corrected_texts(bed.reviews, bed.predictions)
+    exports.write_csv(splits.combine(bed.corpus, corrected, 3), path)
+    return readers.read_corpus_csv(bed.spark, path)
+
+
 def register(c: Catalog) -> None:
+    c.add("s02_csv_malformed", _malformed, """
+        SELECT count(*) FILTER (WHERE doc_id % 50 <> 0) AS n_kept, count(*) FILTER (WHERE doc_id % 50 <> 0 AND class = 'suicide') AS n_suicide,
+               count(*) FILTER (WHERE doc_id % 50 = 0) AS n_malformed FROM corpus""")
+    c.add("s15_comparison_csv", _comparison_csv, """
+        SELECT model, round(accuracy, 6) AS accuracy, round("precision", 6) AS "precision", round(recall, 6) AS recall,
+               round(f1, 6) AS f1, round(fnr, 6) AS fnr, round(fpr, 6) AS fpr FROM metrics""")
+    c.add("s16_model_artefact", _artefact, f"""
+        SELECT split, count(*) AS n_rows, true AS same FROM ({split_sql(splits.SPLIT_80_10_10)}) GROUP BY split""")
+    c.add("s19_combined_training_set", _combined_training_set, """
+        SELECT text, class FROM corpus UNION ALL
+        SELECT p.text, CASE WHEN r.correct_class = 1 THEN 'suicide' ELSE 'non-suicide' END
+        FROM reviews r JOIN predictions p ON r.prediction_id = p.id, range(1, 4) WHERE r.feedback_type = 'correction'""")
     c.add("s06_stored_readiness", _stored_readiness, READY_SQL.format(f"SELECT {TOTALS_SQL} FROM feedback"))
     c.add("s07_csv_rows", lambda b: exports.csv_rows(b.feedback, "reviewed", False), f"""
         SELECT id, text, original_prediction, original_score, teacher_correction, is_correct,
