@@ -132,6 +132,40 @@ def bootstrap_f1(df: DataFrame, replicates: int = 200, seed: int = 42, key: str
     return sums.select("model", "replicate", rates.ratio(F.col("tp") * 2.0, F.col("tp") * 2 + F.col("wrong")).alias("f1"))
 
 
+#: Up to this mean a Poisson draw inverts the exact distribution; beyond it, the normal one with a term for skewness.
+EXACT_MEAN = 400
+
+
+def poisson_draw(mean: Column, digest: Column) -> Column:
+    """A repeatable Poisson draw from a digest's first sixteen hex digits, inside the row."""
+    uniform = lambda start: (F.conv(F.substring(digest, start, 8), 16, 10).cast("double") + 0.5) / float(16**8)
+    u, v = uniform(1), uniform(9)
+    z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+    wide = F.greatest(F.lit(0.0), F.round(mean + F.sqrt(mean) * z + (z * z - 1) / 6)).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("upto"), u.alias("u"), mean.cast("double").alias("m"))
+
+    def step(acc: Column, i: Column) -> Column:
+        p = acc["p"] * acc["m"] / i
+        return F.when(acc["u"] < acc["upto"], acc).otherwise(F.struct(
+            i.cast("long").alias("k"), p.alias("p"), (acc["upto"] + p).alias("upto"), acc["u"].alias("u"), acc["m"].alias("m")))
+
+    most = F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int")
+    exact = F.aggregate(F.sequence(F.lit(1), F.least(most, F.lit(3 * EXACT_MEAN))), start, step)["k"]
+    return F.when(mean <= EXACT_MEAN, exact).otherwise(wide)
+
+
+def cell_bootstrap_f1(counts: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
+    """F1 per model and replicate from confusion counts (``model, fp, fn, tp``) alone.
+
+    The weights of n rows under a Poisson bootstrap sum to a Poisson draw with mean n, so a replicate needs one draw for
+    the hits and one for the misses of a model, whatever the number of rows; none is copied.
+    """
+    drawn = counts.select("model", "tp", (F.col("fp") + F.col("fn")).alias("wrong"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    digest = lambda cell: seeded_hash(F.concat_ws("|", F.lit(cell), "model", F.col("replicate").cast("string")), seed)
+    sums = drawn.select("model", "replicate", poisson_draw(F.col("tp"), digest("tp")).alias("tp"), poisson_draw(F.col("wrong"), digest("wrong")).alias("wrong"))
+    return sums.select("model", "replicate", rates.ratio(F.col("tp") * 2.0, F.col("tp") * 2 + F.col("wrong")).alias("f1"))
+
+
 def bootstrap_interval(f1: DataFrame) -> DataFrame:
     """95 % percentile interval over the replicates."""
     return f1.groupBy("model").agg(

@@ -89,6 +89,15 @@ def _weighted(bed: Testbed) -> DataFrame:
     return ensembles.weighted_vote(rows.where(F.col("key") % 5 != 0), weights).withColumn("prob", F.round("prob", 6))
 
 
+def _cell_bootstrap(bed: Testbed) -> DataFrame:
+    """Intervals from confusion counts alone, held against those of the version that draws a weight for every row."""
+    rows = significance.bootstrap_interval(significance.bootstrap_f1(bed.model_predictions))
+    cells = significance.bootstrap_interval(significance.cell_bootstrap_f1(evaluation.confusion(bed.model_predictions)))
+    near = lambda c, most: F.abs(F.col(f"c.{c}") - F.col(f"r.{c}")) <= most
+    return cells.alias("c").join(rows.alias("r"), F.col("c.model") == F.col("r.model")).select(
+        "c.model", "c.n_replicates", (near("f1_mean", 0.02) & near("f1_low", 0.06) & near("f1_high", 0.06)).alias("agrees"))
+
+
 def _review(bed: Testbed) -> DataFrame:
     missed = ensembles.error_rows(bed.model_predictions).where(F.col("truth") == 1)
     return ensembles.review_sample(missed, 50).select("model", "bucket", "rank", "key")
@@ -248,6 +257,7 @@ def register(c: Catalog) -> None:
         SELECT model, count(*) AS n_replicates, round(avg(f1), 6) AS f1_mean, round(quantile_cont(f1, 0.025), 6) AS f1_low,
                round(quantile_cont(f1, 0.975), 6) AS f1_high
         FROM ({boot}) GROUP BY model""")
+    c.add("d04_cell_bootstrap", _cell_bootstrap, "SELECT DISTINCT model, CAST(200 AS BIGINT) AS n_replicates, true AS agrees FROM model_predictions")
     c.add("d05_soft_vote", _votes, """
         SELECT key, round(prob, 6) AS prob, truth, n_models, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred FROM (
           SELECT key, avg(prob) AS prob, max(truth) AS truth, count(*) AS n_models FROM model_predictions GROUP BY key)""")

@@ -163,3 +163,23 @@ def test_votes_and_buckets(random_predictions):
 def test_failed_predictions_count_as_negative(spark):
     df = table(spark, [("m", 1, None, None, 1), ("m", 2, 1, 0.9, 1)])
     assert tuple(evaluation.failure_count(df).first()) == ("m", 2, 1, 1)
+
+
+def test_poisson_draws_from_counts(spark):
+    """Mean and variance of many draws, on both sides of the switch, and repeatable."""
+    from riskloom.operators import significance as sg
+
+    for mean in (0, 1, 7, 390, 410, 1_000_000):
+        rows = spark.range(4000).select(sg.poisson_draw(F.lit(mean), F.md5(F.concat(F.lit("x"), "id"))).alias("k"))
+        got = rows.agg(F.avg("k").alias("m"), F.var_samp("k").alias("v"), F.min("k").alias("low")).first()
+        assert abs(got["m"] - mean) <= 4 * (mean / 4000) ** 0.5 and got["low"] >= 0
+        assert abs(got["v"] - mean) <= 0.12 * mean
+
+
+def test_cell_bootstrap_needs_no_rows(spark):
+    from riskloom.operators import significance as sg
+
+    counts = spark.createDataFrame([("a", 40, 60, 900), ("b", 0, 0, 0)], "model string, fp long, fn long, tp long")
+    by = {r["model"]: r for r in sg.bootstrap_interval(sg.cell_bootstrap_f1(counts, 400)).collect()}
+    assert by["b"]["f1_high"] == 0 and by["a"]["f1_low"] < 1800 / 1900 < by["a"]["f1_high"] and by["a"]["n_replicates"] == 400
+    assert 0.01 < by["a"]["f1_high"] - by["a"]["f1_low"] < 0.04
