@@ -43,7 +43,7 @@ SHALLOW = 32
 CHUNK, RUN = 1 << 20, 4096
 BUCKET_BYTES = 4 << 20
 MOST_BITS = 28
-HOT = 4096
+HOT = 1024
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.random.default_rng(12).integers(1, 1 << 63, 256, np.uint64)
 _FOUND = "key binary, start long, stop long, digest binary"
