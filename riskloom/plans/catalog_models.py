@@ -143,16 +143,14 @@ def _stacked(bed: Testbed) -> DataFrame:
 
 
 def _cycle(bed: Testbed) -> DataFrame:
-    """The whole cycle on the labelled corpus and its corrections; metrics by part."""
-    wrong = bed.feedback.where(~F.col("is_correct"))
-    return retraining_cycle.run(bed.corpus, wrong, "retrained").metrics
+    """The whole cycle on the labelled corpus and all its reviewed rows, behind the default gate; metrics by part."""
+    return retraining_cycle.run(bed.corpus, bed.feedback, "retrained", corrections_only=False).metrics
 
 
 def _cycle_facts(bed: Testbed) -> DataFrame:
-    """Rows of the stored training set by part and origin, and whether the log speaks of every correction."""
-    wrong = bed.feedback.where(~F.col("is_correct"))
-    cycle = retraining_cycle.run(bed.corpus, wrong, "retrained")
-    logged = cycle.log.agg(F.sum("num_samples")).scalar() == wrong.where(F.col("text").isNotNull()).agg(F.count("*")).scalar()
+    """Rows of the stored training set by part and origin, and whether the log speaks of every reviewed row."""
+    cycle = retraining_cycle.run(bed.corpus, bed.feedback, "retrained", corrections_only=False)
+    logged = cycle.log.agg(F.sum("num_samples")).scalar() == bed.feedback.where(F.col("text").isNotNull()).agg(F.count("*")).scalar()
     return cycle.training_set.groupBy("split", "origin", "label").agg(F.count("*").alias("n_rows")).withColumn("all_logged", logged)
 
 
@@ -175,9 +173,11 @@ _CUT_SQL = """
       SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('42|' || key), key) AS r,
              count(*) OVER (PARTITION BY class) AS n FROM ({0}))"""
 
-SPLIT_FIRST_SQL = f"""
+_SPLIT_FIRST = f"""
     SELECT key || '#' || CAST(c AS INTEGER) AS key, origin, class, split
-    FROM ({_CUT_SQL.format(_TAGGED_SQL)}), range(1, 6) g(c) WHERE c = 1 OR (origin = 'feedback' AND split = 'train')"""
+    FROM ({_CUT_SQL}), range(1, 6) g(c) WHERE c = 1 OR (origin = 'feedback' AND split = 'train')"""
+
+SPLIT_FIRST_SQL = _SPLIT_FIRST.format(_TAGGED_SQL)
 
 OVERSAMPLE_FIRST_SQL = _CUT_SQL.format(f"""
     SELECT key || '#' || CAST(c AS INTEGER) AS key, origin, class FROM ({_TAGGED_SQL}), range(1, 6) g(c)
@@ -201,7 +201,7 @@ def register(c: Catalog) -> None:
     c.add("m05_retraining_cycle", _cycle)
     c.add("m05_retraining_facts", _cycle_facts, f"""
         SELECT split, origin, CASE class WHEN 'suicide' THEN 1 ELSE 0 END AS label, count(*) AS n_rows, true AS all_logged
-        FROM ({SPLIT_FIRST_SQL}) GROUP BY 1, 2, 3""")
+        FROM ({_SPLIT_FIRST.format(_TAGGED_SQL.replace(" WHERE NOT is_correct", ""))}) GROUP BY 1, 2, 3""")
     c.add("m07_weighted_loss", _weighted_loss)
     c.add("m07_weighted_loss_facts", lambda b: _facts(_both_losses(b)), _facts_sql("weighted", "unweighted"))
     c.add("m04_logistic_facts", lambda b: _facts(_logistic(b)), _facts_sql("tfidf_logistic"))

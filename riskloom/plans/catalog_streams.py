@@ -18,7 +18,7 @@ from riskloom.session import scratch_path
 from riskloom.sources import exports
 from riskloom.streaming import scoring as score_jobs
 from riskloom.streaming import stateful, traffic
-from riskloom.streaming.common import change_log, newest, parquet_stream, to_batches, to_parquet
+from riskloom.streaming.common import change_log, exists, newest, parquet_stream, to_batches, to_parquet
 from riskloom.streaming.monitor import CorrectionMonitor
 
 
@@ -78,6 +78,8 @@ def _stateful(bed: Testbed) -> DataFrame:
     for _ in range(2):
         _finish(stateful.start(parquet_stream(bed.spark, path, rows.schema, 1), bed.spark.read.schema(rows.schema).parquet(path), root))
     events = newest(bed.spark, f"{root}/events", ("source",))
+    if not exists(bed.spark, f"{root}/exports"):  # never enough corrections, so no event either
+        return events.select("source", "incorrect", F.lit(False).alias("last_export_is_whole"))
     last = exports.list_exports(bed.spark, f"{root}/exports").select(F.regexp_extract("filename", "corrections_([0-9]+)samples", 1).cast("long").alias("n"))
     return events.select("source", "incorrect", (last.agg(F.max("n")).scalar() == F.col("incorrect")).alias("last_export_is_whole"))
 
