@@ -6,7 +6,8 @@ dictionary encoding (differences where the dictionary is full), in row groups an
 a reader of some documents, or of ``n_tokens`` alone, touches those pages only.
 
 Encoding is done by the tokenizers library.  Vocabularies that drop white space encode each word by itself, so distinct
-words are encoded once per batch, and frequent ones kept in a bounded cache; others are encoded text by text.
+chunks are numbered by array operations and encoded once per batch, and frequent ones kept in a bounded cache of one path;
+others are encoded text by text.
 
 Edge cases: null and empty texts have the end id alone; rows that repeat a ``doc_id`` are written each, next to each
 other; rows without ``doc_id`` come first; other columns are not written.
@@ -14,7 +15,6 @@ other; rows without ``doc_id`` come first; other columns are not written.
 
 from __future__ import annotations
 
-import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -24,16 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.bpe_index import slices, vocabulary
+from riskloom.llm.bpe_index import BATCH_CHARS, REMEMBERED, Chunks, slices, vocabulary
 from riskloom.session import materialize, scratch_path
 
 END_ID = 1
-#: Texts are encoded in batches of about this many characters.
-BATCH_CHARS = 10_000_000
-#: Words whose ids a worker keeps from one batch to the next, in each of two generations (about 200 bytes each).
-CACHED_WORDS = 150_000
 #: Words that go to the library as one text.
 WORDS_PER_TEXT = 2000
+#: Bytes of text in a file, at most about.
+FILE_BYTES = 512 << 20
 FILE_OPTIONS = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -44,9 +42,6 @@ FILE_OPTIONS = {
 }
 
 _library: dict = {}
-_ends: dict[str, np.ndarray] = {}
-_recent: dict[str, bytes] = {}
-_older: dict[str, bytes] = {}
 
 
 def _tokenizer(path: str):
@@ -57,106 +52,51 @@ def _tokenizer(path: str):
         _library[path] = Tokenizer.from_file(path)
         _library[path].no_truncation()
         _library[path].no_padding()
-        _recent.clear()
-        _older.clear()
     return _library[path]
 
 
-def _by_text(texts: list[str], path: str) -> Iterator[bytes]:
-    for text in texts:
-        yield np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+def _ids(text: str, path: str) -> bytes:
+    return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def _encode_words(words: list[str], path: str) -> Iterator[bytes]:
-    """Ids of each word.  Many words go to the library as one text, cut again where a token ends a word."""
-    library, ends = _tokenizer(path), _word_ends(path)
-    for start in range(0, len(words), WORDS_PER_TEXT):
-        some = words[start:start + WORDS_PER_TEXT]
-        ids = np.array(library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-        cut = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-        if len(cut) != len(some):
-            raise ValueError("the vocabulary does not end every word")
-        raw = ids.tobytes()
-        yield from map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut))
-
+def _word_coder(path: str):
+    """Ids of distinct words by the library.  Many words go to it as one text, cut again where a token ends a word."""
+    vocab = vocabulary(path)
+    ends = np.array([t.endswith(vocab.end) for t in vocab.tokens])
 
-def _word_ends(path: str) -> np.ndarray:
-    if path not in _ends:
-        vocab = vocabulary(path)
-        _ends[path] = np.array([t.endswith(vocab.end) for t in vocab.tokens])
-    return _ends[path]
+    def coded(words: list[str]) -> list[tuple[bytes]]:
+        out: list[tuple[bytes]] = []
+        for start in range(0, len(words), WORDS_PER_TEXT):
+            some = words[start:start + WORDS_PER_TEXT]
+            ids = np.array(_tokenizer(path).encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cut = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(cut) != len(some):
+                raise ValueError("the vocabulary does not end every word")
+            raw = ids.tobytes()
+            out += [(raw[a:b],) for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+        return out
 
-
-def _by_word(texts: list[str], path: str) -> Iterator[bytes]:
-    """Encodes distinct words with the library and puts texts together from them."""
-    vocab = vocabulary(path)
-    special = {" " + name: np.array([i], "<u4").tobytes() for name, i in vocab.special.items()}
-    at = 0
-    while at < len(texts):
-        to, held = at, 0
-        distinct: set[str] = set()
-        while to < len(texts) and (to == at or held + len(texts[to]) <= BATCH_CHARS):
-            held += len(texts[to])
-            distinct.update(vocab.chunks(texts[to]))
-            to += 1
-        gc.disable()  # so many small objects would be searched again and again
-        parts = {c: vocab.words(c) for c in distinct}
-        table, fresh = dict(special), []
-        for w in {w for words in parts.values() for w in words}:
-            found = _recent.get(w) or _older.get(w)
-            if found is None:
-                if w not in special:
-                    fresh.append(w)
-            else:
-                table[w] = found
-        # a word that the library would change once more is encoded as it stands in the text, with what is around it
-        changing = {w for w in fresh if not w.isascii() and vocab.normalize(w) != w}
-        fresh = [w for w in fresh if w not in changing] if changing else fresh
-        table.update(zip(fresh, _encode_words(fresh, path), strict=True))
-        _remember(table)
-        whole = [c for c, words in parts.items() if not changing.isdisjoint(words)] if changing else []
-        known = dict(zip(whole, _by_text(whole, path), strict=True))
-        known |= {c: table[words[0]] if len(words) == 1 else b"".join([table[w] for w in words]) for c, words in parts.items() if c not in known}
-        del parts, table
-        gc.enable()
-        for text in texts[at:to]:
-            yield b"".join([known[c] for c in vocab.chunks(text)])
-        at = to
-
-
-def _remember(table: dict[str, bytes]) -> None:
-    """Two generations: words of the last batches stay, and of those before them what came again."""
-    if len(_recent) > CACHED_WORDS:
-        _older.clear()
-        _older.update(_recent)
-        _recent.clear()
-    if len(_recent) + len(table) <= 2 * CACHED_WORDS:
-        _recent.update(table)
+    return coded
 
 
 def _encode_rows(path: str, by_word: bool):
-    end = np.array([END_ID], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = Chunks(vocabulary(path), _word_coder(path), 1, lambda chunk: (_ids(chunk, path),), REMEMBERED // 2) if by_word else None
         for batch in batches:
-            ids, at = batch.column("doc_id"), 0
-            raw: list[bytes] = []
-
-            def close(at: int) -> pa.RecordBatch:
-                counts = np.array([len(r) // 4 for r in raw], np.int64)
-                values = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
-                return pa.RecordBatch.from_arrays([ids.slice(at, len(raw)), pa.array(counts), lists], ["doc_id", "n_tokens", "ids"])
-
-            for texts in slices(batch.column("text"), BATCH_CHARS):
-                for r in (_by_word if by_word else _by_text)(texts, path):
-                    raw.append(r + end)
-                    if len(raw) == 512:
-                        yield close(at)
-                        at += len(raw)
-                        raw = []
-            if raw:
-                yield close(at)
+            at = 0
+            for texts in slices(batch.column("text"), BATCH_CHARS // 2):
+                if chunks:
+                    ((raw, ends),) = chunks.gathered(texts)
+                else:
+                    parts = [_ids(t, path) for t in texts.to_pylist()]
+                    raw, ends = memoryview(b"".join(parts)), np.concatenate([[0], np.cumsum(list(map(len, parts)))])
+                ends = ends // 4
+                values = np.insert(np.frombuffer(raw, "<u4")[:ends[-1]], ends[1:], END_ID).astype(np.int32)
+                ends = ends + np.arange(len(ends))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(np.diff(ends)), lists], ["doc_id", "n_tokens", "ids"])
+                at += len(texts)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -167,7 +107,9 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, target: str, files: int
     ``by_word`` is for vocabularies that drop white space.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        held = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held // FILE_BYTES + 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     (texts.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
      .mapInArrow(_encode_rows(vocabulary_path, by_word), "doc_id long, n_tokens long, ids array<int>")
@@ -184,8 +126,8 @@ def _crc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("ids")
         ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4").view(np.uint8)
         sums = [zlib.crc32(values[4 * a:4 * b]) for a, b in zip(ends, ends[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())],
-                                         ["doc_id", "file", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), batch.column("row_index"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())],
+                                         ["doc_id", "file", "row_index", "n_tokens", "ids_crc32"])
 
 
 def token_index(spark: SparkSession, target: str) -> DataFrame:
@@ -193,12 +135,12 @@ def token_index(spark: SparkSession, target: str) -> DataFrame:
 
     Running totals go over one row per file, then over the rows of each file.
     """
-    rows = read_tokens(spark, target).select("doc_id", F.col("_metadata.file_path").alias("file"), "ids")
-    sums = materialize(rows.mapInArrow(_crc_rows, "doc_id long, file string, n_tokens long, ids_crc32 long"), "token-sums")
+    rows = read_tokens(spark, target).select("doc_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"), "ids")
+    sums = materialize(rows.mapInArrow(_crc_rows, "doc_id long, file string, row_index long, n_tokens long, ids_crc32 long"), "token-sums")
     totals = sums.groupBy("file").agg(F.sum("n_tokens").alias("words"), F.min("doc_id").alias("first"))
     ranked = Window.orderBy("first", "file")
     before = totals.select("file", (F.sum("words").over(ranked) - F.col("words")).alias("before"))
-    inside = Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("file").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)
     return (sums.join(before, "file").withColumn("start", F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
             .select("doc_id", "start", "n_tokens", "ids_crc32"))
 
