@@ -2,7 +2,7 @@
 
 The words of a text meet their weights once; what follows (sign, min-max, percentile, triggers, sentence means) is one
 array program inside the row.  Texts are partitioned by key, once to be cut into words and once to meet the words' weights
-again; with a weights table that is broadcast no word row is shuffled.  Sentences are folded with the best few kept, so
+again; only rows of distinct rare terms are shuffled, since the weights of frequent ones are broadcast.  Sentences are folded with the best few kept, so
 the work is linear in the length of a text.  Keys have to be unique.
 """
 
@@ -17,19 +17,20 @@ from riskloom.functions import lexicon as lx
 from riskloom.functions import redaction
 from riskloom.functions import text as tx
 from riskloom.operators import attribution as at
-from riskloom.operators import linear, scoring
+from riskloom.operators import linear, scoring, skew
 
 _BEST = "array<struct<lack:double,no:int>>"
 
 
-def with_weighed_words(df: DataFrame, weights: DataFrame, key: str, column: str = "text") -> DataFrame:
+def with_weighed_words(df: DataFrame, weights: DataFrame, key: str, column: str = "text", parts: int | None = None, head_terms: int | None = None) -> DataFrame:
     """Add ``_by_word``: ``(word, pos, weight_micro)`` of every word, sorted; null for a text without words."""
-    placed = df.repartition(key)
-    cut = placed.select(F.col(key).alias("_k"), F.posexplode(tx.words(F.lower(column))).alias("pos", "word"))
-    weighed = linear.with_weight(cut, weights, "word")
-    rows = F.struct("word", "pos", F.coalesce("weight_micro", F.lit(0)).alias("weight_micro"))
+    texts, head = linear.placed(df, weights, key, column, head_terms, parts)
+    cut = texts.select(F.col(key).alias("_k"), "_tail", F.posexplode_outer(tx.words(F.lower(column))).alias("pos", "word")).where(
+        F.col("pos").isNotNull())
+    weighed = linear.with_weight(cut, head, "word")
+    rows = F.struct("word", "pos", "weight_micro")
     lists = weighed.groupBy("_k").agg(F.sort_array(F.collect_list(rows)).alias("_by_word"))
-    return placed.join(lists, F.col(key) == F.col("_k"), "left").drop("_k")
+    return texts.drop("_tail").join(lists, F.col(key) == F.col("_k"), "left").drop("_k")
 
 
 def distinct_sum(by_word: Column) -> Column:
@@ -88,7 +89,7 @@ def best_sentences(counts: Column, normalized: Column, minimum: float = at.PROBL
     return F.aggregate(words, start, step, closed)
 
 
-def analyze_explained(df: DataFrame, weights: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+def analyze_explained(df: DataFrame, weights: DataFrame, key: str = "doc_id", column: str = "text", head_terms: int | None = None) -> DataFrame:
     """The analysis document of every text by the linear model, with its explanation.
 
     ``risk`` has ``highlighted_words`` (text, normalized_score, is_important) and ``problematic_sentences`` (sentence,
@@ -97,7 +98,7 @@ def analyze_explained(df: DataFrame, weights: DataFrame, key: str = "doc_id", co
     """
     passed = [c for c in df.columns if c != column]
     clean = redaction.redact(df, column, "_clean").drop(column)
-    weighed = with_weighed_words(clean, weights, key, "_clean")
+    weighed = with_weighed_words(clean, weights, key, "_clean", skew.parts_of(df, column), head_terms)
     intercept = linear.intercept_of(weights)
     scored = linear.with_probability(weighed.withColumn("_z", distinct_sum(F.col("_by_word")) + intercept), "_z")
     sign = F.when(F.col("pred") == 1, 1.0).otherwise(-1.0)

@@ -184,3 +184,30 @@ def test_sentence_rows(spark):
     df = spark.createDataFrame([(1, "A b. C! ")], "doc_id int, text string")
     got = [tuple(r) for r in attribution.sentence_rows(df).orderBy("sentence_no").collect()]
     assert got == [(1, 0, "A b", 2), (1, 1, "C", 1)]
+
+
+@pytest.mark.parametrize("head_terms", [0, 5])
+def test_rare_terms_weigh_the_same_and_no_word_row_is_shuffled(spark, head_terms):
+    """With fewer head terms than the vocabulary has, on keys that repeat and are null, without automatic broadcasts."""
+    rows = [(i % 9 if i % 10 else None, f"calm Day w{i % 7} w{i % 3} w{i} unknown{i}. sad calm") for i in range(60)] + [(70, None), (71, " ")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    known = {"calm": 60, "day": 50, "sad.": 40} | {f"w{i}": 2 if i < 7 else 1 for i in range(50)}
+    weights = spark.createDataFrame(
+        [("", 0, 0, 100)] + [(w, n, 0, 1000 * n + len(w)) for w, n in known.items()], "term string, pos_df long, neg_df long, weight_micro long")
+    micro = {w: 1000 * n + len(w) for w, n in known.items()}
+    head, tail = linear.head_and_tail(weights, head_terms)
+    assert head.count() <= head_terms and head.count() + tail.count() == len(known)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = linear.word_scores(texts, weights, "doc_id", head_terms=head_terms)
+        got = sorted((str(r["doc_id"]), r["pos"], r["word"], round(r["score"] * 1e6)) for r in words.collect())
+        summed = {r["doc_id"]: r["z_micro"] for r in linear.score(texts, weights, "doc_id", head_terms=head_terms).collect()}
+        final = attribution.normalize(words)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    cut = [(k, (t or "").lower().split()) for k, t in rows]
+    assert got == sorted((str(k), p, w, micro.get(w, 0)) for k, ws in cut for p, w in enumerate(ws))
+    assert summed == {k: 100 * 1 + sum(micro.get(w, 0) for q, ws in cut if q == k for w in set(ws)) for k, _ in cut}
+    rare = final[final.index("Generate posexplode"):].count("SortMergeJoin")
+    assert "SortMergeJoin" not in final[:final.index("Generate posexplode")] and rare == 1, final
