@@ -116,3 +116,30 @@ def test_retraining_cycle(spark, corpus):
     in_train = cycle.training_set.where("origin = 'feedback' and split = 'train'")
     assert in_train.count() == 3 * in_train.select("text").distinct().count()
     assert cycle.text_model.transform(spark.createDataFrame([("dark pain",)], "text string")).count() == 1
+
+
+def test_vocabulary_is_counted_without_the_fit_of_the_vectorizer(spark, corpus, monkeypatch):
+    """Its fit deals every term to as many tasks as the input has splits; the vectors are the same."""
+    cut = features.grams(corpus, ["and"])
+    train = cut.where("split = 'train'")
+    plain = features.Pipeline(stages=features.vector_stages()).fit(train)
+    monkeypatch.setattr(features.CountVectorizer, "fit", lambda *a: pytest.fail("fitted by the vectorizer"))
+    made = features.fit_vectors(train)
+    assert set(made.stages[0].vocabulary) == set(plain.stages[0].vocabulary)
+    named = lambda m: {r["doc_id"]: {m.stages[0].vocabulary[i]: round(v, 9) for i, v in zip(r["features"].indices, r["features"].values)}
+                       for r in m.transform(cut).select("doc_id", "features").collect()}
+    assert named(made) == named(plain)
+    models.featurize(corpus, ["and"])
+
+
+def test_copies_weigh_as_rows(spark, corpus):
+    """Vectors, class weights and the model are those of rows that are there several times."""
+    counted = corpus.withColumn("copies", F.when((F.col("doc_id") % 4 == 0) & (F.col("split") == "train"), 3).otherwise(1))
+    whole = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy", "copies")
+    (a, ta), (b, tb) = models.featurize(counted, ["and"], copies="copies"), models.featurize(whole, ["and"])
+    assert a.stages[4].vocabulary == b.stages[4].vocabulary
+    assert a.stages[5].idf.toArray() == pytest.approx(b.stages[5].idf.toArray())
+    fits = [models.logistic(t.where("split = 'train'").drop("split"), copies=c) for t, c in ((ta, "copies"), (tb, None))]
+    assert fits[0].getRegParam() == fits[1].getRegParam()
+    probs = [{r["key"]: r["prob"] for r in models.predictions(f, ta, "m").collect()} for f in fits]
+    assert all(abs(probs[0][k] - probs[1][k]) < 0.01 for k in probs[1])
