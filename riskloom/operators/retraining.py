@@ -36,12 +36,25 @@ def training_set(
     other order replicates before the split, so copies of one text can land on
     both sides; it is kept for comparison with earlier results.
     """
-    copies = F.when(F.col("origin") == "feedback", F.sequence(F.lit(1), F.lit(times))).otherwise(F.array(F.lit(1)))
     if not split_first:
+        copies = F.when(F.col("origin") == "feedback", F.sequence(F.lit(1), F.lit(times))).otherwise(F.array(F.lit(1)))
         multiplied = rows.withColumn("copy", F.explode(copies)).withColumn(
             "key", F.concat_ws("#", "key", F.col("copy").cast("string")))
         return splits.stratified_split(multiplied, "key", parts=parts, seed=seed)
+    return replicated(weighed_set(rows, times, parts, seed))
+
+
+def weighed_set(
+    rows: DataFrame, times: int = 5, parts: Sequence[tuple[str, int]] = splits.SPLIT_90_10, seed: int = splits.SEED,
+) -> DataFrame:
+    """Split tagged rows, each once, with the ``copies`` that ``training_set`` makes of it after the split."""
     split = splits.stratified_split(rows, "key", parts=parts, seed=seed)
-    only_train = F.when(F.col("split") == "train", copies).otherwise(F.array(F.lit(1)))
-    return split.withColumn("copy", F.explode(only_train)).withColumn(
-        "key", F.concat_ws("#", "key", F.col("copy").cast("string")))
+    more = (F.col("origin") == "feedback") & (F.col("split") == "train")
+    return split.withColumn("copies", F.when(more, F.lit(times)).otherwise(F.lit(1)))
+
+
+def replicated(rows: DataFrame) -> DataFrame:
+    """Each row as often as its ``copies`` say, with ``copy``, the number of the copy, in its key too."""
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return rows.withColumn("copy", copy).withColumn(
+        "key", F.concat_ws("#", "key", F.col("copy").cast("string"))).drop("copies")

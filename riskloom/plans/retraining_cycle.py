@@ -38,23 +38,28 @@ def run(
 
     Fails when there are fewer than ``min_samples`` rows to learn from or a label
     is unknown.  The training set is written before training, so the model, the
-    metrics and the log speak of the same rows.
+    metrics and the log speak of the same rows.  Copies made after the split are
+    stored as a count: texts are cut once, and a row weighs as many as it stands for.
     """
     chosen = reviewed.where(~F.col("is_correct")) if corrections_only else reviewed
     usable = feedback.require_feedback(chosen, min_samples)
     extra = usable.select(
         F.col("id").alias("feedback_id"), "text", lx.binary_label(F.col("teacher_correction")).alias("class"))
-    rows = retraining.training_set(retraining.tagged(original, extra), oversample, split_first)
-    labelled = corpus.map_labels_strict(rows, mapping=lb.LABEL_TO_CLASS).select("key", "origin", "text", "label", "split")
+    tagged = retraining.tagged(original, extra)
+    rows = retraining.weighed_set(tagged, oversample) if split_first else retraining.training_set(
+        tagged, oversample, False).withColumn("copies", F.lit(1))
+    labelled = corpus.map_labels_strict(rows, mapping=lb.LABEL_TO_CLASS).select("key", "origin", "text", "label", "split", "copies")
     stored = materialize(labelled, "training-set")
+    trained_on = retraining.replicated(stored).drop("copy") if split_first else stored.drop("copies")
 
     words = stop_words if stop_words is not None else features.default_stop_words()
-    text_model, table = models.featurize(skew.spread(stored, "key"), words)
-    classifier = models.logistic(table.where(F.col("split") == "train").drop("split"))
+    text_model, table = models.featurize(skew.spread(stored, "key"), words, copies="copies")
+    classifier = models.logistic(table.where(F.col("split") == "train").drop("split"), copies="copies")
     scored = models.predictions(classifier, table, model_name, key="key")
+    scored = scored.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     metrics = materialize(models.by_split(scored), "metrics")
     summary = metrics.where(F.col("split") == "eval").first()
     config = {"oversample": oversample, "min_samples": min_samples, "split_first": split_first}
     log = feedback.retraining_log(
         extra, model_name, json.dumps(config), json.dumps(summary.asDict()) if summary else None)
-    return Cycle(text_model, classifier, stored, metrics, log)
+    return Cycle(text_model, classifier, trained_on, metrics, log)
