@@ -143,3 +143,17 @@ def test_copies_weigh_as_rows(spark, corpus):
     assert fits[0].getRegParam() == fits[1].getRegParam()
     probs = [{r["key"]: r["prob"] for r in models.predictions(f, ta, "m").collect()} for f in fits]
     assert all(abs(probs[0][k] - probs[1][k]) < 0.01 for k in probs[1])
+
+
+def test_tfidf_deals_texts_by_bytes(spark, tmp_path, monkeypatch):
+    """More text gets more tasks than the session's number of partitions."""
+    from riskloom.operators import skew
+    from riskloom.plans import catalog_models
+    from riskloom.plans.testbed import Testbed
+
+    monkeypatch.setattr(skew, "TASK_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "dark pain " * 20) for i in range(100)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bed = Testbed(spark, str(tmp_path))
+    assert skew.dealt(bed.documents, "doc_id", skew.parts_of(bed.documents, "text")).rdd.getNumPartitions() == 21
+    assert "REPARTITION_BY_NUM" in catalog_models._tfidf(bed)._jdf.queryExecution().executedPlan().toString()
