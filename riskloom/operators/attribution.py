@@ -108,14 +108,18 @@ def sentence_scores(
         "score", F.coalesce("score", F.lit(0.0)))
 
 
-def sentence_means(words: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, sentence_no, score`` from normalised words that know their sentence."""
+def sentence_means(words: DataFrame, key: str = "doc_id", with_text: bool = False) -> DataFrame:
+    """``key, sentence_no, score`` from normalised words that know their sentence.
+
+    ``with_text`` adds ``sentences``: the text of the sentence as its first word has it, once for each row of the document.
+    """
+    told = [F.collect_list("sentence").alias("sentences")] if with_text else []
     return words.where(F.col("sentence_no").isNotNull()).groupBy(key, "sentence_no").agg(
-        F.round(F.avg("normalized_score"), 9).alias("score"))
+        F.round(F.avg("normalized_score"), 9).alias("score"), *told)
 
 
 def with_sentence_text(scores: DataFrame, docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """Add the sentence's text; meant for the few sentences that were chosen."""
+    """Add the sentence's text; meant for the few sentences that were chosen, where words do not carry it."""
     return scores.join(docs.select(key, column), key).withColumn(
         "sentence", F.element_at(tx.sentences(F.col(column)), F.col("sentence_no") + 1)).drop(column)
 

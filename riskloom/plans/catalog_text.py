@@ -141,8 +141,8 @@ def _worst_sentences(bed: Testbed) -> DataFrame:
 
 
 def _problematic(bed: Testbed) -> DataFrame:
-    chosen = attribution.with_sentence_text(_worst_sentences(bed), bed.documents)
-    return chosen.select("doc_id", "rank", "sentence", "score")
+    told = attribution.sentence_means(attribution.normalize(bed.sentence_words), with_text=True)
+    return attribution.problematic_sentences(told).select("doc_id", "rank", F.explode("sentences").alias("sentence"), "score")
 
 
 def _sentence_join(bed: Testbed) -> DataFrame:

@@ -211,3 +211,35 @@ def test_rare_terms_weigh_the_same_and_no_word_row_is_shuffled(spark, head_terms
     assert summed == {k: 100 * 1 + sum(micro.get(w, 0) for q, ws in cut if q == k for w in set(ws)) for k, _ in cut}
     rare = final[final.index("Generate posexplode"):].count("SortMergeJoin")
     assert "SortMergeJoin" not in final[:final.index("Generate posexplode")] and rare == 1, final
+
+
+@pytest.mark.parametrize("query", ["x17_token_attribution", "x14_important_words", "x11_problematic_sentences"])
+def test_word_rows_meet_their_class_in_the_text(spark, monkeypatch, query):
+    """No join or shuffle of word rows, also where texts are dealt to fewer tasks than the session's number."""
+    import __spark_entry__
+    from riskloom.operators import skew
+
+    monkeypatch.setattr(skew, "dealt", lambda df, key, parts: df.repartition(3, key))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = __spark_entry__.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = plan[:plan.index("Generate posexplode")]
+    assert "SortMergeJoin" not in above and "Exchange hashpartitioning" not in above, plan
+
+
+@pytest.mark.parametrize("head_terms", [1, None])
+def test_classes_travel_with_the_texts(spark, head_terms):
+    """Texts without a class or a key are left out; copies of a key are kept, each with its sentences."""
+    rows = [(1, "Bad a. Fine. Bad."), (1, "Bad a. Fine. Bad."), (2, "bad"), (3, "fine"), (None, "bad"), (4, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = spark.createDataFrame([("", 0, 0, 0), ("bad", 9, 0, 7), ("a.", 1, 0, 5)], "term string, pos_df long, neg_df long, weight_micro long")
+    classes = spark.createDataFrame([(1, 1), (3, 0), (4, 0), (None, 1)], "doc_id long, pred int")
+    words = linear.word_scores(texts, weights, "doc_id", sentences=True, head_terms=head_terms, classes=classes)
+    got = sorted((r["doc_id"], r["pos"], r["word"], round(r["score"] * 1e6), r["pred"], r["sentence_no"], r["sentence"]) for r in words.collect())
+    one = [(1, 0, "bad", 7, 1, 0, "Bad a"), (1, 1, "a.", 5, 1, 0, None), (1, 2, "fine.", 0, 1, 1, "Fine"), (1, 3, "bad.", 0, 1, 2, "Bad")]
+    assert got == sorted([*one, *one, (3, 0, "fine", 0, 0, 0, "fine")])
+    means = attribution.sentence_means(attribution.normalize(words.where("pred = 1")), with_text=True)
+    assert sorted((r["sentence_no"], r["sentences"]) for r in means.collect()) == [(0, ["Bad a"] * 2), (1, ["Fine"] * 2), (2, ["Bad"] * 2)]
