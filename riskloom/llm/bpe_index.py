@@ -261,7 +261,7 @@ class Chunks:
 
     def _words(self, chunk: str) -> list[str]:
         words = self.vocab.words(chunk) if chunk else []
-        if self.whole and any(not w.isascii() and self.vocab.normalize(w) != w for w in words):
+        if self.whole and words != [chunk] and any(not w.isascii() and self.vocab.normalize(w) != w for w in words):
             return ["\n" + chunk]
         return words
 

@@ -6,7 +6,7 @@ dictionary encoding (differences where the dictionary is full), in row groups an
 a reader of some documents, or of ``n_tokens`` alone, touches those pages only.
 
 Encoding is done by the tokenizers library.  Vocabularies that drop white space encode each word by itself, so distinct
-chunks are numbered by array operations and encoded once per batch, and frequent ones kept in a bounded cache of one path;
+chunks are numbered by array operations and encoded once per batch, and late ones kept in a bounded cache of the worker;
 others are encoded text by text.
 
 Edge cases: null and empty texts have the end id alone; rows that repeat a ``doc_id`` are written each, next to each
@@ -42,6 +42,7 @@ FILE_OPTIONS = {
 }
 
 _library: dict = {}
+_known: dict[str, Chunks] = {}
 
 
 def _tokenizer(path: str):
@@ -79,9 +80,16 @@ def _word_coder(path: str):
     return coded
 
 
+def _chunks(path: str) -> Chunks:
+    """The words that a worker knows; it keeps them from one task to the next."""
+    if path not in _known:
+        _known[path] = Chunks(vocabulary(path), _word_coder(path), 1, lambda chunk: (_ids(chunk, path),), REMEMBERED)
+    return _known[path]
+
+
 def _encode_rows(path: str, by_word: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(vocabulary(path), _word_coder(path), 1, lambda chunk: (_ids(chunk, path),), REMEMBERED // 2) if by_word else None
+        chunks = _chunks(path) if by_word else None
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text"), BATCH_CHARS // 2):

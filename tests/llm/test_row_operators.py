@@ -237,3 +237,22 @@ def test_matches_have_an_anchor():
     short = [g for g in grams if len(g) <= licence_scan.SHORT]
     anchors = set(licence_scan._anchors(short, 0.8))
     assert all(3 * sum(not anchors & set(b.split()) for b in g) < 2 * len(g) for g in short)
+
+
+def test_a_worker_keeps_its_words_from_task_to_task(monkeypatch):
+    """A second task asks the library for the new words alone, and has the same ids."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from riskloom.llm import token_files as tf
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    asked, library = [], tf._word_coder(path)
+    monkeypatch.setattr(tf, "_known", {}, raising=False)
+    monkeypatch.setattr(tf, "_word_coder", lambda p: lambda words: (asked.append(sorted(words)), library(words))[1])
+    batch = lambda *texts: pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": list(texts)})
+    run = lambda b: [r for out in tf._encode_rows(path, True)(iter([b])) for r in out.column("ids").to_pylist()]
+    first, second = run(batch("Straße plain \u0130x Über")), run(batch("plain Straße Über new \u0130x"))
+    assert asked[-1] == ["new"] and len(asked) == 2
+    plain = lambda t: [*tf._tokenizer(path).encode(t, add_special_tokens=False).ids, tf.END_ID]
+    assert [first, second] == [[plain("Straße plain \u0130x Über")], [plain("plain Straße Über new \u0130x")]]
