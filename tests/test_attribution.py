@@ -243,3 +243,24 @@ def test_classes_travel_with_the_texts(spark, head_terms):
     assert got == sorted([*one, *one, (3, 0, "fine", 0, 0, 0, "fine")])
     means = attribution.sentence_means(attribution.normalize(words.where("pred = 1")), with_text=True)
     assert sorted((r["sentence_no"], r["sentences"]) for r in means.collect()) == [(0, ["Bad a"] * 2), (1, ["Fine"] * 2), (2, ["Bad"] * 2)]
+
+
+def test_labels_are_broadcast_to_the_texts_up_to_a_bound(spark, monkeypatch):
+    """The fit of the weights shuffles terms alone while the labels are few; with more it is a join, with equal weights."""
+    from riskloom.plans import testbed
+
+    seen, fitted = [], linear.fit_weights
+    monkeypatch.setattr(testbed, "_weights", {})
+    monkeypatch.setattr(testbed.linear, "fit_weights", lambda rows, key: (seen.append(
+        rows._jdf.queryExecution().executedPlan().toString()), fitted(rows, key))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = testbed.Testbed(spark, "/root/testdata/sf0.001").weights.collect()
+        testbed._weights.clear()
+        monkeypatch.setattr(testbed, "BROADCAST_LABELS", 10)
+        many = testbed.Testbed(spark, "/root/testdata/sf0.001").weights.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in seen[0] and "SortMergeJoin" in seen[1]
+    assert sorted(few) == sorted(many)
