@@ -213,8 +213,16 @@ def test_rare_terms_weigh_the_same_and_no_word_row_is_shuffled(spark, head_terms
     assert "SortMergeJoin" not in final[:final.index("Generate posexplode")] and rare == 1, final
 
 
+def _tables(spark, folder):
+    """Documents, of which every second one has a label."""
+    rows = [(i, f"calm day w{i % 7}. bad w{i}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
 @pytest.mark.parametrize("query", ["x17_token_attribution", "x14_important_words", "x11_problematic_sentences"])
-def test_word_rows_meet_their_class_in_the_text(spark, monkeypatch, query):
+def test_word_rows_meet_their_class_in_the_text(spark, monkeypatch, tmp_path, query):
     """No join or shuffle of word rows, also where texts are dealt to fewer tasks than the session's number."""
     import __spark_entry__
     from riskloom.operators import skew
@@ -223,7 +231,7 @@ def test_word_rows_meet_their_class_in_the_text(spark, monkeypatch, query):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = __spark_entry__.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        plan = __spark_entry__.queries()[query](spark, _tables(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     above = plan[:plan.index("Generate posexplode")]
@@ -245,21 +253,21 @@ def test_classes_travel_with_the_texts(spark, head_terms):
     assert sorted((r["sentence_no"], r["sentences"]) for r in means.collect()) == [(0, ["Bad a"] * 2), (1, ["Fine"] * 2), (2, ["Bad"] * 2)]
 
 
-def test_labels_are_broadcast_to_the_texts_up_to_a_bound(spark, monkeypatch):
+def test_labels_are_broadcast_to_the_texts_up_to_a_bound(spark, monkeypatch, tmp_path):
     """The fit of the weights shuffles terms alone while the labels are few; with more it is a join, with equal weights."""
     from riskloom.plans import testbed
 
-    seen, fitted = [], linear.fit_weights
+    seen, fitted, folder = [], linear.fit_weights, _tables(spark, tmp_path)
     monkeypatch.setattr(testbed, "_weights", {})
     monkeypatch.setattr(testbed.linear, "fit_weights", lambda rows, key: (seen.append(
         rows._jdf.queryExecution().executedPlan().toString()), fitted(rows, key))[1])
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        few = testbed.Testbed(spark, "/root/testdata/sf0.001").weights.collect()
+        few = testbed.Testbed(spark, folder).weights.collect()
         testbed._weights.clear()
         monkeypatch.setattr(testbed, "BROADCAST_LABELS", 10)
-        many = testbed.Testbed(spark, "/root/testdata/sf0.001").weights.collect()
+        many = testbed.Testbed(spark, folder).weights.collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in seen[0] and "SortMergeJoin" in seen[1]
