@@ -6,8 +6,8 @@ dictionary encoding (differences where the dictionary is full), in row groups an
 a reader of some documents, or of ``n_tokens`` alone, touches those pages only.
 
 Encoding is done by the tokenizers library.  Vocabularies that drop white space encode each word by itself, so distinct
-chunks are numbered by array operations and encoded once per batch, and late ones kept in a bounded cache of the worker;
-others are encoded text by text.
+chunks are numbered by array operations, those that a worker has not met lately are cut into words, new words alone are
+encoded, and the ids of both are kept in arrays of bounded length; others are encoded text by text.
 
 Edge cases: null and empty texts have the end id alone; rows that repeat a ``doc_id`` are written each, next to each
 other; rows without ``doc_id`` come first; other columns are not written.
@@ -17,19 +17,21 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.bpe_index import BATCH_CHARS, REMEMBERED, Chunks, slices, vocabulary
+from riskloom.llm.bpe_index import BATCH_CHARS, Chunks, Vocabulary, _bytes, slices, vocabulary
 from riskloom.session import materialize, scratch_path
 
 END_ID = 1
 #: Words that go to the library as one text.
-WORDS_PER_TEXT = 2000
+WORDS_PER_TEXT = 500
+#: Chunks, and words, whose ids a worker keeps (about 50 bytes each).
+REMEMBERED = 300_000
 #: Bytes of text in a file, at most about.
 FILE_BYTES = 512 << 20
 FILE_OPTIONS = {
@@ -42,7 +44,7 @@ FILE_OPTIONS = {
 }
 
 _library: dict = {}
-_known: dict[str, Chunks] = {}
+_known: dict[str, KnownChunks] = {}
 
 
 def _tokenizer(path: str):
@@ -60,30 +62,95 @@ def _ids(text: str, path: str) -> bytes:
     return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def _word_coder(path: str):
+def _word_coder(path: str) -> Callable[[list[str]], pa.Array]:
     """Ids of distinct words by the library.  Many words go to it as one text, cut again where a token ends a word."""
     vocab = vocabulary(path)
     ends = np.array([t.endswith(vocab.end) for t in vocab.tokens])
 
-    def coded(words: list[str]) -> list[tuple[bytes]]:
-        out: list[tuple[bytes]] = []
+    def coded(words: list[str]) -> pa.Array:
+        parts, cuts, before = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)], 0
         for start in range(0, len(words), WORDS_PER_TEXT):
             some = words[start:start + WORDS_PER_TEXT]
-            ids = np.array(_tokenizer(path).encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cut = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            (found,) = _tokenizer(path).encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            cut = np.flatnonzero(ends[ids]) + 1
             if len(cut) != len(some):
                 raise ValueError("the vocabulary does not end every word")
-            raw = ids.tobytes()
-            out += [(raw[a:b],) for a, b in zip([0, *cut[:-1]], cut, strict=True)]
-        return out
+            parts.append(ids)
+            cuts.append(before + cut)
+            before += len(ids)
+        return _binary(4 * np.concatenate(cuts), pa.py_buffer(np.concatenate(parts)))
 
     return coded
 
 
-def _chunks(path: str) -> Chunks:
-    """The words that a worker knows; it keeps them from one task to the next."""
+def _binary(ends: np.ndarray, data: pa.Buffer) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends)), data])
+
+
+class Remembered:
+    """Strings with their ids, in arrays from one batch to the next.
+
+    The known strings are numbered before those of a batch, so only what stands behind them is new to ``code``.  Of more
+    than ``most`` those stay that were met last.
+    """
+
+    def __init__(self, code: Callable[[pa.Array], pa.Array], most: int) -> None:
+        self.code, self.most = code, most
+        self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.met, self.batch = np.zeros(0, np.int64), 0
+
+    def ids_of(self, values: pa.Array) -> pa.Array:
+        n = len(self.known)
+        numbered = pa.concat_arrays([self.known, values]).dictionary_encode()
+        ids = pa.concat_arrays([self.ids, self.code(numbered.dictionary.slice(n))])
+        at = numbered.indices.slice(n)
+        self._keep(numbered.dictionary, ids, at.to_numpy())
+        return ids.take(at)
+
+    def _keep(self, strings: pa.Array, ids: pa.Array, at: np.ndarray) -> None:
+        self.batch += 1
+        met = np.concatenate([self.met, np.zeros(len(strings) - len(self.met), np.int64)])
+        met[at] = self.batch
+        if len(met) > self.most:
+            last = np.sort(np.argpartition(met, -self.most)[-self.most:])
+            strings, ids, met = strings.take(pa.array(last)), ids.take(pa.array(last)), met[last]
+        self.known, self.ids, self.met = strings, ids, met
+
+
+class KnownChunks(Chunks):
+    """Chunks whose ids are remembered, and the ids of their words."""
+
+    def __init__(self, vocab: Vocabulary, code: Callable[[list[str]], pa.Array], whole: Callable[[str], tuple[bytes]], remembered: int | None = None) -> None:
+        super().__init__(vocab, code, 1, whole, remembered or REMEMBERED)
+        self.known = Remembered(self._chunk_ids, self.remembered)
+        self.known_words = Remembered(lambda words: self._word_ids(words.to_pylist()), self.remembered)
+
+    def _word_ids(self, words: list[str]) -> pa.Array:
+        odd = [k for k, w in enumerate(words) if not w or w[0] in " \n"]
+        if not odd:
+            return self.code(words)
+        apart = set(odd)
+        plain = [k for k in range(len(words)) if k not in apart]
+        told = self._coded([words[k] for k in odd])
+        both = pa.concat_arrays([self.code([words[k] for k in plain]), pa.array([told[words[k]][0] for k in odd], pa.large_binary())])
+        return both.take(pa.array(np.argsort(np.array(plain + odd))))
+
+    def _chunk_ids(self, chunks: pa.Array) -> pa.Array:
+        cut = self._cut(chunks)
+        data, ends = _bytes(self.known_words.ids_of(cut.values))
+        return _binary(ends[cut.offsets.to_numpy()], data)
+
+    def gathered(self, texts: pa.Array) -> list[tuple[memoryview, np.ndarray]]:
+        lists = self._lists(texts)
+        data, ends = _bytes(self.known.ids_of(lists.values))
+        return [(memoryview(data), ends[lists.offsets.to_numpy()])]
+
+
+def _chunks(path: str) -> KnownChunks:
+    """The chunks that a worker knows; it keeps them from one task to the next."""
     if path not in _known:
-        _known[path] = Chunks(vocabulary(path), _word_coder(path), 1, lambda chunk: (_ids(chunk, path),), REMEMBERED)
+        _known[path] = KnownChunks(vocabulary(path), _word_coder(path), lambda chunk: (_ids(chunk, path),))
     return _known[path]
 
 

@@ -256,3 +256,21 @@ def test_a_worker_keeps_its_words_from_task_to_task(monkeypatch):
     assert asked[-1] == ["new"] and len(asked) == 2
     plain = lambda t: [*tf._tokenizer(path).encode(t, add_special_tokens=False).ids, tf.END_ID]
     assert [first, second] == [[plain("Straße plain \u0130x Über")], [plain("plain Straße Über new \u0130x")]]
+
+
+def test_token_files_cut_new_chunks_alone(monkeypatch):
+    """What a worker has met is neither cut into words nor encoded again, and what it keeps is bounded and right."""
+    cut, plain = [], bpe_index.Chunks._cut
+    monkeypatch.setattr(token_files, "_known", {})
+    monkeypatch.setattr(bpe_index.Chunks, "_cut", lambda self, chunks: (cut.append(chunks.to_pylist()), plain(self, chunks))[1])
+    batch = lambda *texts: pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": list(texts)})
+    for texts in (("one, two", None, "Ärger!"), ("two three Ärger!", "one,")):
+        got = [r for out in token_files._encode_rows(PATH, True)(iter([batch(*texts)])) for r in out.column("ids").to_pylist()]
+        assert got == [library().encode(t or "", add_special_tokens=False).ids + [token_files.END_ID] for t in texts]
+    assert cut[-1] == ["three"]
+    tokenizer, few = library(), token_files.KnownChunks(
+        bpe_index.vocabulary(PATH), token_files._word_coder(PATH), lambda chunk: (token_files._ids(chunk, PATH),), 40)
+    for text in odd_texts() * 2:
+        ((ids, at),) = few.gathered(pa.array([text], pa.large_string()))
+        assert bytes(ids[at[0]:at[1]]) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(few.known.known) <= 40 and len(few.known_words.known) <= 40
